@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscle.llm import bpe, langid, simhash
+from corpuscle.llm import bpe, langid, licenses, media, mixing, simhash, urls
 from corpuscle.llm.shared import workers_import
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -32,13 +32,35 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer_path())
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's URL: by the stated rules, else by mined ones."""
+    return urls.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op7_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values of every document's payload, read back from the chunk store."""
+    return media.features(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    sized = docs.select("doc_id", mixing.word_count().alias("size"), F.array("source").alias("sources"))
+    return mixing.mix(sized).drop("sources")
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licence that each document's lines or whole text match best."""
+    return licenses.documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash fingerprint and near-duplicate component of every document."""
     found = simhash.groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-ALL = [op1_language_id, op3_bpe, op9_simhash]
+ALL = [op1_language_id, op3_bpe, op4_url_filter, op7_media_chunks, op8_mixing, op9_simhash, op10_license_scan]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -54,4 +76,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_mixing": mixing.SQL, "op10_license_scan": licenses.sql()}
