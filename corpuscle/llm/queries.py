@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscle.llm import bpe, langid, licenses, media, mixing, simhash, urls
+from corpuscle.llm import bpe, langid, licenses, media, mixing, pq, simhash, toxicity, urls
 from corpuscle.llm.shared import workers_import
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -37,6 +37,19 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; learned from labels that aren't held out."""
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    out = langid.held_out("doc_id", 5, 0)
+    model = toxicity.train(docs.where(~out), labels.where(~out))
+    return toxicity.score(docs, model).select("doc_id", out.alias("held_out"), "score", "predicted", "word")
+
+
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of near-equal embeddings of one label."""
+    return pq.links(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op7_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values of every document's payload, read back from the chunk store."""
     return media.features(spark.read.parquet(f"{sf_dir}/documents.parquet"))
@@ -60,7 +73,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-ALL = [op1_language_id, op3_bpe, op4_url_filter, op7_media_chunks, op8_mixing, op9_simhash, op10_license_scan]
+ALL = [op1_language_id, op3_bpe, op4_url_filter, op5_toxicity, op6_embedding_dedup, op7_media_chunks, op8_mixing, op9_simhash, op10_license_scan]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
