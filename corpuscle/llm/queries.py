@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscle.llm import bpe, langid, licenses, media, mixing, pq, simhash, toxicity, urls
+from corpuscle.llm import bpe, html, langid, licenses, media, mixing, pq, simhash, toxicity, urls
 from corpuscle.llm.shared import workers_import
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -27,6 +27,11 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", F.concat_ws(",", "languages").alias("languages"))
 
 
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and digests of the ids and of the decoded text, of every document."""
     return bpe.digests(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer_path())
@@ -73,7 +78,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-ALL = [op1_language_id, op3_bpe, op4_url_filter, op5_toxicity, op6_embedding_dedup, op7_media_chunks, op8_mixing, op9_simhash, op10_license_scan]
+ALL = [op1_language_id, op2_main_text, op3_bpe, op4_url_filter, op5_toxicity, op6_embedding_dedup, op7_media_chunks, op8_mixing, op9_simhash, op10_license_scan]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
