@@ -10,13 +10,14 @@ while the log-likelihood grows by more than a penalty.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpuscle.llm.shared import column, slices
 
@@ -183,25 +184,26 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     return Model.fit(counts)
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang_pred, score, languages, proportions of every row of docs.
+def identify(docs: DataFrame, model: Model, carry: Sequence[str] = ("doc_id",), prefix: str = "") -> DataFrame:
+    """The columns carry, and lang_pred, score, languages, proportions (after prefix), of every row of docs.
 
     Only the whole text is looked at. A null text, and one without a letter,
     gets und, score 0 and empty lists; every row stays, repeated ones too.
     """
     state = docs.sparkSession.sparkContext.broadcast(model)
+    carry, names = list(carry), [prefix + x for x in ("lang_pred", "score", "languages", "proportions")]
+    kinds = (T.StringType(), T.DoubleType(), T.ArrayType(T.StringType()), T.ArrayType(T.DoubleType()))
+    schema = T.StructType([*docs.select(*carry).schema, *(T.StructField(n, k) for n, k in zip(names, kinds, strict=True))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = column(batch, "text")
             for lo in range(0, batch.num_rows, 1000):
-                pred, score, langs, parts = predict(state.value, texts[lo : lo + 1000].to_pylist())
-                yield pa.RecordBatch.from_arrays(
-                    [column(batch, "doc_id")[lo : lo + 1000], pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(langs, pa.list_(pa.string())), pa.array(parts, pa.list_(pa.float64()))],
-                    ["doc_id", "lang_pred", "score", "languages", "proportions"],
-                )
+                part = batch.slice(lo, 1000)
+                pred, score, langs, parts = predict(state.value, column(part, "text").to_pylist())
+                found = [pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(langs, pa.list_(pa.string())), pa.array(parts, pa.list_(pa.float64()))]
+                yield pa.RecordBatch.from_arrays([*(column(part, c) for c in carry), *found], [*carry, *names])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, languages array<string>, proportions array<double>")
+    return docs.select(*dict.fromkeys([*carry, "text"])).mapInArrow(run, schema)
 
 
 def crc_mod(doc_id: int, parts: int) -> int:

@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpuscle.llm.shared import column, written
 
@@ -306,19 +307,17 @@ def train(docs: DataFrame, labels: DataFrame, toxic_sample: int = TOXIC_SAMPLE,
     model = fit_linear(sorted(toxic), sorted({*clean, *near}))
     fit_sharp(model, toxic, dict(hardest(calm, model, HARD)))
     total = {r.toxic: r["count"] for r in per.groupBy("toxic").count().collect()}
-    values = np.array([(r.toxic, r.n_words, *r.values) for r in decided(taken, model).collect()], np.float64)  # one row for each sampled label
+    values = np.array([(r.toxic, r.n_words, *r.values) for r in decided(taken, model, ["toxic"]).collect()], np.float64)  # one row for each sampled label
     y = (values[:, 0] == 1).astype(float)
     weight = np.where(y > 0, total[1] / n_toxic, total[0] / n_clean)
     model.final = logistic(features(values[:, 2:], values[:, 1]), y, weight / weight.mean())
     return model
 
 
-def decided(docs: DataFrame, model: Model) -> DataFrame:
-    """docs' rows (without text) with word, n_words and values: the decisive word, the count of distinct words and the TOP highest decision values."""
+def decided(docs: DataFrame, model: Model, kept: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """The columns kept of docs, and word, n_words and values: the decisive word, the count of distinct words and the TOP highest decision values."""
     state = docs.sparkSession.sparkContext.broadcast(model)
-    kept = [c for c in docs.columns if c != "text"]
-    from pyspark.sql import types as T
-
+    kept = list(kept)
     schema = T.StructType([*docs.select(*kept).schema, T.StructField("word", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("values", T.ArrayType(T.DoubleType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -342,7 +341,7 @@ def decided(docs: DataFrame, model: Model) -> DataFrame:
                 part = batch.slice(lo, 256)
                 yield pa.RecordBatch.from_arrays([*(column(part, c) for c in kept), pa.array(words, pa.string()), pa.array([len(s) for s in sets], pa.int64()), pa.array(values, pa.list_(pa.float64()))], [*kept, "word", "n_words", "values"])
 
-    return docs.select(*kept, "text").mapInArrow(run, schema)
+    return docs.select(*dict.fromkeys([*kept, "text"])).mapInArrow(run, schema)
 
 
 def hardest(words: DataFrame, model: Model, n: int) -> list[tuple[str, int]]:
@@ -358,20 +357,24 @@ def hardest(words: DataFrame, model: Model, n: int) -> list[tuple[str, int]]:
     return [(r.word, r.clean) for r in found.orderBy(F.desc("value"), "word").limit(n).collect()]
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, score (0 to 1), predicted (1 from 0.5 on) and the decisive word of every row of docs.
+def score(docs: DataFrame, model: Model, carry: Sequence[str] = ("doc_id",), prefix: str = "") -> DataFrame:
+    """The columns carry, and score (0 to 1), predicted (1 from 0.5 on) and the decisive word (after prefix), of every row of docs.
 
     The whole text counts. A null text, or one without letters, scores like a
-    text of no insult: the least value. Repeated rows and null ids stay.
+    text of no insult. Repeated rows and null ids stay.
     """
     state = docs.sparkSession.sparkContext.broadcast(model)
+    names = [prefix + x for x in ("n_words", "values", "word")]
+    rows = decided(docs, model, carry)
+    rows = rows.toDF(*carry, prefix + "word", prefix + "n_words", prefix + "values")
+    schema = T.StructType([*docs.select(*carry).schema, T.StructField(prefix + "score", T.DoubleType()), T.StructField(prefix + "predicted", T.IntegerType()), T.StructField(prefix + "word", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
             if n:
-                values = np.array(column(batch, "values").to_pylist(), np.float64).reshape(n, TOP)
-                p = state.value.document(values, np.array(column(batch, "n_words").to_pylist(), np.float64))
-                yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(p), pa.array((p >= 0.5).astype(np.int32)), column(batch, "word")], ["doc_id", "score", "predicted", "word"])
+                values = np.array(column(batch, names[1]).to_pylist(), np.float64).reshape(n, TOP)
+                p = state.value.document(values, np.array(column(batch, names[0]).to_pylist(), np.float64))
+                yield pa.RecordBatch.from_arrays([*(column(batch, c) for c in carry), pa.array(p), pa.array((p >= 0.5).astype(np.int32)), column(batch, names[2])], [*carry, prefix + "score", prefix + "predicted", prefix + "word"])
 
-    return decided(docs.select("doc_id", "text"), model).mapInArrow(run, "doc_id long, score double, predicted int, word string")
+    return rows.mapInArrow(run, schema)
