@@ -27,8 +27,9 @@ from pyspark.sql import functions as F
 from corpuscle.llm.shared import column, connected, written
 
 SEED, SHINGLE, PREFIX, FANOUT = 42, 3, 16, 8
-#: Fingerprints of a range, about; a range is never cut inside a leading pattern.
-RANGE_ROWS = 20_000
+#: Ranges of Gray rank (there are fewer when they would hold under LEAST_ROWS fingerprints, and more when they
+#: would hold over RANGE_ROWS). A range is never cut inside a leading pattern.
+RANGES, LEAST_ROWS, RANGE_ROWS = 64, 100, 50_000
 #: Pairs of fingerprint and node that are looked at together.
 FRONTIER = 2_000_000
 
@@ -146,8 +147,7 @@ def near_edges(fps: DataFrame, limit: int = 2) -> DataFrame:
     for r in keyed.groupBy("prefix").count().toLocalIterator():  # 2**PREFIX rows at most
         counts[r.prefix] = r["count"]
     total = int(counts.sum())
-    spread = max(1, min(total // 200, int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    size = max(1, min(RANGE_ROWS, -(-total // spread)))
+    size = min(RANGE_ROWS, max(-(-total // RANGES), LEAST_ROWS))
     part_of = ((np.cumsum(counts) - counts) // size).astype(np.int32)  # by Gray rank: a range is a run of ranks
     ranks = np.arange(1 << PREFIX, dtype=np.uint64)
     code = ranks ^ (ranks >> np.uint64(1))
