@@ -19,6 +19,7 @@ import math
 import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -91,23 +92,46 @@ def sums(words: Sequence[str], weights: np.ndarray) -> np.ndarray:
 
 
 def vectors(words: Sequence[str]) -> np.ndarray:
-    """The kernel's features of few words: len(words) x LETTERS**3."""
-    out, norm = np.zeros((len(words), LETTERS**3), np.float32), np.zeros(len(words))
+    """The kernel's features of few words, of length 1: len(words) x LETTERS**3."""
+    out = np.zeros((len(words), LETTERS**3), np.float32)
     for w, t, g in triples(words):
         np.add.at(out, (w, t), np.float32(g))
-        norm += np.bincount(w, minlength=len(words)) * g * g
-    return out / np.sqrt(np.maximum(norm, 1e-9)).astype(np.float32)[:, None]
+    return out / np.sqrt(np.maximum((out * out).sum(axis=1), 1e-9))[:, None]
+
+
+def lengths(words: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The lengths of the words' features: as :func:`sums` norms them (as if no triple occurred twice), and as they are."""
+    plain = np.zeros(len(words))
+    keys, weights = [], []
+    for w, t, g in triples(words):
+        plain += np.bincount(w, minlength=len(words)) * g * g
+        keys.append(w * LETTERS**3 + t)
+        weights.append(np.full(len(w), g))
+    if not keys or not sum(map(len, keys)):
+        return np.full(len(words), 1e-4), np.full(len(words), 1e-4)
+    key, place = np.unique(np.concatenate(keys), return_inverse=True)
+    total = np.bincount(place, np.concatenate(weights))
+    real = np.bincount(key // LETTERS**3, total * total, len(words))
+    return np.sqrt(np.maximum(plain, 1e-9)), np.sqrt(np.maximum(real, 1e-9))
 
 
 def against(words: Sequence[str], marks: np.ndarray) -> np.ndarray:
-    """The kernel of words with landmarks, whose vectors are the columns of marks."""
-    out, norm = np.zeros((len(words), marks.shape[1])), np.zeros(len(words))
+    """The sums of words' triples over landmarks, whose vectors are the columns of marks; not normed."""
+    out = np.zeros((len(words), marks.shape[1]))
     for w, t, g in triples(words):
         if len(w):
             first = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
             out[w[first]] += np.add.reduceat(marks[t], first, axis=0) * g
-            norm += np.bincount(w, minlength=len(words)) * g * g
-    return out / np.sqrt(np.maximum(norm, 1e-9))[:, None]
+    return out
+
+
+def kernel(words: Sequence[str], marks: np.ndarray, real: bool) -> np.ndarray:
+    """The kernel of words with landmarks, normed by one or the other length."""
+    parts = []
+    for i in range(0, len(words), 1024):
+        some = words[i : i + 1024]
+        parts.append(against(some, marks) / lengths(some)[int(real)][:, None])
+    return np.vstack(parts)
 
 
 @dataclass
@@ -117,7 +141,7 @@ class Model:
     weights: np.ndarray  # of the triples
     bias: float
     floor: float = 0.0
-    marks: np.ndarray | None = None  # columns: the landmarks' vectors
+    marks: tuple[str, ...] = ()  # the landmarks; their vectors are made anew in each process, as they are large
     beta: np.ndarray | None = None
     bias2: float = -1.0
     final: np.ndarray | None = None  # the document's logistic weights
@@ -127,11 +151,12 @@ class Model:
             return np.zeros(0)
         first = sums(words, self.weights) + self.bias
         out = np.full(len(words), -BOUND)
-        if self.marks is not None:
+        if self.marks:
+            marks = columns(self.marks)
             near = np.flatnonzero(first >= self.floor)
             for at in range(0, len(near), 1024):
                 some = near[at : at + 1024]
-                k = np.exp(SHARP * (against([words[i] for i in some], self.marks) - 1))
+                k = np.exp(SHARP * (kernel([words[i] for i in some], marks, True) - 1))
                 out[some] = np.clip(k @ self.beta + self.bias2, -BOUND, BOUND)
         return out
 
@@ -202,29 +227,37 @@ def pick(x: list, n: int) -> list:
     return x if len(x) <= n else [x[i] for i in np.linspace(0, len(x) - 1, n).astype(int)]
 
 
-def landmarks(toxic: list[str], clean: list[str]) -> np.ndarray:
+def landmarks(toxic: list[str], clean: list[str]) -> tuple[str, ...]:
     marks = pick(toxic, LANDMARKS // 2)
-    return vectors(marks + pick(clean, LANDMARKS - len(marks)))
+    return (*marks, *pick(clean, LANDMARKS - len(marks)))
+
+
+@lru_cache(maxsize=2)
+def columns(marks: tuple[str, ...]) -> np.ndarray:
+    return np.ascontiguousarray(vectors(marks).T)
 
 
 def nystroem(kernel: np.ndarray) -> np.ndarray:
-    """The inverse square root of the landmarks' kernel."""
-    val, vec = np.linalg.eigh(kernel + 1e-6 * np.eye(len(kernel)))
-    return vec / np.sqrt(np.maximum(val, 1e-8)) @ vec.T
+    """The inverse square root of the landmarks' kernel, over the directions that single precision tells from noise."""
+    val, vec = np.linalg.eigh(kernel)
+    sure = val > 1e-4 * val.max()
+    return vec[:, sure] / np.sqrt(val[sure])
 
 
 def fit_linear(toxic: list[str], clean: list[str]) -> Model:
     """The first machine, from witnesses and clean words (as letters): it lets the witnesses and their bent forms pass."""
     bends = sorted({b for i, w in enumerate(toxic) for b in bent(w, i)} - set(clean) - set(toxic))
-    z = landmarks(toxic, clean)
-    root = nystroem((z @ z.T).astype(np.float64))
+    z = columns(landmarks(toxic, clean))
+    root = nystroem((z.T @ z).astype(np.float64))
+    short, real = lengths(clean)
+    clean = [w for w, much in zip(clean, real > 2 * short, strict=True) if not much]  # runs of one letter outweigh all others
     words = toxic + bends + clean
-    k = np.vstack([against(words[i : i + 1024], np.ascontiguousarray(z.T)) for i in range(0, len(words), 1024)])
+    k = kernel(words, z, False)
     n = len(toxic) + len(bends)
     y = np.where(np.arange(len(words)) < n, 1.0, -1.0)
     weight = np.where(y > 0, 1.0 / n, 1.0 / len(clean)) * len(words) / 2
     beta, bias = machine(k @ root, y, weight)
-    model = Model((z.T @ (root @ beta)).astype(np.float64), bias)
+    model = Model((z @ (root @ beta)).astype(np.float64), bias)
     model.floor = float(np.quantile(sums(toxic + bends, model.weights) + bias, 0.02)) - 0.25
     return model
 
@@ -233,11 +266,11 @@ def fit_sharp(model: Model, toxic: dict[str, int], calm: dict[str, int]) -> None
     """The second machine, from witnesses and the clean words nearest to them, with counts of documents."""
     bad, good = list(toxic), sorted(calm, key=lambda w: (-calm[w], w))
     bends = sorted({b for i, w in enumerate(bad) for b in bent(w, i)} - set(calm) - set(toxic))
-    z = landmarks(bad, good)
+    marks = landmarks(bad, good)
     words = bad + bends + good
-    marks = np.ascontiguousarray(z.T)
-    root = nystroem(np.exp(SHARP * ((z @ z.T).astype(np.float64) - 1)))
-    k = np.exp(SHARP * (np.vstack([against(words[i : i + 1024], marks) for i in range(0, len(words), 1024)]) - 1))
+    z = columns(marks)
+    root = nystroem(np.exp(SHARP * ((z.T @ z).astype(np.float64) - 1)))
+    k = np.exp(SHARP * (kernel(words, z, True) - 1))
     y = np.array([1.0] * (len(bad) + len(bends)) + [-1.0] * len(good))
     weight = np.array([math.sqrt(toxic[w]) for w in bad] + [0.3] * len(bends) + [math.sqrt(calm[w]) for w in good])
     beta, model.bias2 = machine(k @ root, y, weight, 1e-2)
