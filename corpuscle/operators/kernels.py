@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpuscle.functions.algebra import Parts, Vec, col, wrapper
+from corpuscle.functions.algebra import Parts, Vec, col, select, wrapper
 from corpuscle.model import FIXED, HALFSPACE, POINT_MASS, SPHERE, ParticleSchema, has_no
 from corpuscle.operators import contacts, interactions
 
@@ -27,14 +27,29 @@ def read(df: DataFrame, name: str):
     return cls.of(F.col(name)) if cls else F.col(name)
 
 
+def bind(df: DataFrame, name: str, value: Any) -> tuple[DataFrame, Any]:
+    """df with a value as columns of its own, one for each part, and the value read from them.
+
+    Parts stay apart, because the optimizer would put the expression of a
+    struct's field into each place that reads it, and expressions would grow with
+    every step.
+    """
+    if not isinstance(value, Parts):
+        return df.withColumn(name, col(value)), F.col(name)
+    cols = {f"{name}_{n}": p for n, p in zip(value.names, value.parts, strict=True)}
+    return df.withColumns(cols), type(value)(*map(F.col, cols))
+
+
 class Row:
     """The proxy of a row kernel: row[name] reads, row[name] = value assigns (a scalar fills all parts of a vector)."""
 
     def __init__(self, df: DataFrame, where: Column | None = None) -> None:
-        self.df, self.where = df, where
+        self.df, self.where, self.start = df, where, df.columns
+        self.now: dict[str, Any] = {}
+        self.n = 0
 
     def __getitem__(self, name: str):
-        return read(self.df, name)
+        return self.now[name] if name in self.now else read(self.df, name)
 
     def __setitem__(self, name: str, value: Any) -> None:
         old = self[name]
@@ -42,21 +57,22 @@ class Row:
             value = value if isinstance(value, Parts) else type(old).fill(value)
             if type(value) is not type(old):
                 raise TypeError(f"{name} is a {type(old).__name__}")
-            new = value.struct()
+            new = value if self.where is None else select(self.where, value, old)
+            self.n += 1
+            self.df, self.now[name] = bind(self.df, f"_set{self.n}_{name}", new)
         else:
             if isinstance(value, Parts):
                 raise TypeError(f"{name} is a scalar")
             new = col(value).cast(self.df.schema[name].dataType)
-        self.df = self.df.withColumn(name, new if self.where is None else F.when(self.where, new).otherwise(F.col(name)))
+            self.df = self.df.withColumn(name, new if self.where is None else F.when(self.where, new).otherwise(F.col(name)))
 
     def let(self, name: str, value: Any):
-        """Binds a value to a column of its own, which is dropped at the end."""
-        name = f"_let_{name}"
-        self.df = self.df.withColumn(name, value.struct() if isinstance(value, Parts) else col(value))
-        return read(self.df, name)
+        """Binds a value to columns of its own, which are dropped at the end."""
+        self.df, value = bind(self.df, f"_let_{name}", value)
+        return value
 
     def done(self) -> DataFrame:
-        return self.df.drop(*(c for c in self.df.columns if c.startswith("_let_")))
+        return self.df.select(*(self.now[c].struct().alias(c) if c in self.now else F.col(c) for c in self.start))
 
     def is_shape(self, shape: int) -> Column:
         return F.col("shape") == shape
@@ -130,10 +146,9 @@ class Pair:
         self.df = self.df.where(~cond)
 
     def let(self, name: str, value: Any):
-        """Binds a value to a column, so that later steps don't repeat its expression."""
-        name = f"_let_{name}"
-        self.df = self.df.withColumn(name, value.struct() if isinstance(value, Parts) else col(value))
-        return read(self.df, name)
+        """Binds a value to columns, so that later steps don't repeat its expression."""
+        self.df, value = bind(self.df, f"_let_{name}", value)
+        return value
 
     def _touch(self) -> None:
         if not self.touched:
