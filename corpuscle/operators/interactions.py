@@ -117,6 +117,8 @@ def interactions(rows: DataFrame, cutoff: float | None, shapes: Sequence[int], r
                 max_radius = right.where(F.col("shape") == SPHERE).agg(F.max("radius")).first()[0] or 1.0
             out[shape] = sphere_contacts(left, max_radius, part, columns_i, columns_j, half)
         else:
+            if "normal_x" not in right.columns:
+                raise ValueError("half-spaces need a normal")
             out[shape] = halfspace_contacts(left, part, columns_i, columns_j)
     return out
 
@@ -171,3 +173,38 @@ def added(rows: DataFrame, sums: DataFrame, names: Sequence[str]) -> DataFrame:
     s = sums.select("uid", *(F.col(n).alias(f"_sum_{n}") for n in names))
     out = rows.join(s, "uid", "left")
     return out.withColumns({n: F.col(n) + F.coalesce(F.col(f"_sum_{n}"), F.lit(0.0)) for n in names}).drop(*(f"_sum_{n}" for n in names))
+
+
+SHIFTS = ("shift_x", "shift_y", "shift_z")
+
+
+def candidates(rows: DataFrame, right: DataFrame, reach: float) -> DataFrame:
+    """(uid_i, uid_j, shift_x..): pairs within reach, to be used for several steps; reach is the range and a skin.
+
+    right has the rows and their images, with their shifts; an image is named by its uid and shift.
+    """
+    i = side(eligible(rows), "i", ["uid", *POS])
+    j = right.select(F.col("uid").alias("uid_j"), *(F.col(a).alias(f"{a}_j") for a in POS), *SHIFTS, F.col("is_ghost").alias("is_ghost_j"))
+    d = _delta()
+    own = (F.col("uid_i") != F.col("uid_j")) | F.col("is_ghost_j")
+    near = range_join(i, j, [f"{a}_i" for a in POS], [f"{a}_j" for a in POS], reach, (d.squared_length() < reach * reach) & own)
+    return near.select("uid_i", "uid_j", *SHIFTS)
+
+
+def from_candidates(rows: DataFrame, pairs: DataFrame, cutoff: float, lengths: Sequence[float], columns_i: Sequence[str] = (), columns_j: Sequence[str] = ()) -> DataFrame:
+    """The pairs of :func:`cutoff_pairs` from stored candidates and the rows' present places: two joins by uid, and the exact test."""
+    i, j = side(eligible(rows), "i", ["uid", *POS, *columns_i]), side(rows, "j", ["uid", *POS, "flags", *columns_j])
+    out = pairs.join(i, "uid_i").join(j, "uid_j")
+    out = out.withColumns({f"{a}_j": F.col(f"{a}_j") + F.col(s) * F.lit(n) for a, s, n in zip(POS, SHIFTS, lengths, strict=True)})
+    out = out.withColumn("is_ghost_j", (F.col("shift_x") != 0) | (F.col("shift_y") != 0) | (F.col("shift_z") != 0))
+    d = _delta()
+    out = out.withColumns({"dx": d.x, "dy": d.y, "dz": d.z}).drop(*SHIFTS)
+    out = out.withColumn("rsq", F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy") + F.col("dz") * F.col("dz"))
+    return out.where(F.col("rsq") < cutoff * cutoff)
+
+
+def moved(rows: DataFrame, before: DataFrame) -> float:
+    """The farthest that a row has moved since before."""
+    b = before.select("uid", *(F.col(a).alias(f"_{a}") for a in POS))
+    gone = sum(((F.col(a) - F.col(f"_{a}")) * (F.col(a) - F.col(f"_{a}")) for a in POS[1:]), (F.col("x") - F.col("_x")) * (F.col("x") - F.col("_x")))
+    return float(rows.join(b, "uid").agg(F.sqrt(F.max(gone))).first()[0] or 0.0)

@@ -8,7 +8,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpuscle.functions.algebra import Mat, Quat, Vec, int_div, largest, remainder, safe_div, select, smallest, truncate
@@ -259,6 +259,22 @@ def pairs_half(spark, sf_dir):
     return _pairs(spark, sf_dir, half=True, salt=4).select("uid_i", "uid_j", *rows_of(rsq=F.col("rsq"), dx=F.col("dx")))
 
 
+@query(P(f"SELECT i.uid AS uid_i, j.uid AS uid_j, {R('(i.x - j.x) ** 2 + (i.y - j.y) ** 2 + (i.z - j.z) ** 2', 'rsq')} FROM m i, m j WHERE i.uid <> j.uid AND i.flags & 4 = 0 AND (i.x - j.x) ** 2 + (i.y - j.y) ** 2 + (i.z - j.z) ** 2 < {d(CUTOFF * CUTOFF)}", f"m AS (SELECT uid, flags, x + vx * {d(0.05)} AS x, y + vy * {d(0.05)} AS y, z + vz * {d(0.05)} AS z FROM pts)"))
+def verlet_pairs(spark, sf_dir):
+    """Candidates with a skin, stored before the rows moved, used after it."""
+    rows = pts(spark, sf_dir)
+    stored = interactions.candidates(rows, images.images(rows, BOX, 0.0), CUTOFF + 0.1)
+    now = rows.withColumns({a: F.col(a) + F.col(f"v{a}") * 0.05 for a in XYZ})
+    return interactions.from_candidates(now, stored, CUTOFF, BOX.lengths).select("uid_i", "uid_j", r6(F.col("rsq")).alias("rsq"))
+
+
+@query(P("SELECT uid, cx, cy, cz, row_number() OVER (PARTITION BY cx, cy, cz ORDER BY uid) AS slot FROM c", f"c AS (SELECT uid, CAST(floor(x / {d(0.3)}) AS BIGINT) AS cx, CAST(floor(y / {d(0.3)}) AS BIGINT) AS cy, CAST(floor(z / {d(0.3)}) AS BIGINT) AS cz FROM pts)"))
+def cell_slots(spark, sf_dir):
+    """The place of each row in its cell."""
+    cells = pts(spark, sf_dir).select("uid", *(b.alias(f"c{a}") for a, b in zip(XYZ, grid.bins([F.col(a) for a in XYZ], 0.3), strict=True)))
+    return cells.withColumn("slot", F.row_number().over(Window.partitionBy("cx", "cy", "cz").orderBy("uid")).cast("long"))
+
+
 _DIST = f"sqrt({_RSQ})"
 MAX_RADIUS = 0.03 + 0.002 * 9
 _CONTACTS = f"c AS (SELECT i.uid AS uid_i, j.uid AS uid_j, {_DIST} AS dist, {_DIST} - i.radius - j.radius AS depth, (i.x - j.x) / {_DIST} AS nx, (i.y - j.y) / {_DIST} AS ny, (i.z - j.z) / {_DIST} AS nz, j.x AS jx, j.radius AS rj FROM pts i, pts j WHERE i.uid <> j.uid AND i.flags & 4 = 0 AND {_RSQ} < (i.radius + j.radius) * (i.radius + j.radius))"

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpuscle.model import POINT_MASS, SPHERE, Domain, ParticleSchema, struct_of
-from corpuscle.operators import aggregates, contacts, images
+from corpuscle.operators import aggregates, contacts, images, interactions
 from corpuscle.operators.kernels import run_pair, run_row
 from corpuscle.sources import particles, sinks
 
@@ -53,6 +53,7 @@ class Simulation:
         self.partitioner: tuple[int, tuple[bool, bool, bool]] | None = None
         self.period, self.half, self.halo = 1, False, None
         self.thermo_every, self.vtk = 0, None
+        self.listed, self.lists = False, None
         self.before: list[Stage] = []
         self.stages: list[Stage] = []
         self.setups: list[tuple[Callable, dict[str, Any]]] = []
@@ -101,7 +102,20 @@ class Simulation:
         """spacing is the width of the halo; bins of joins have the size of the largest range."""
         self.halo = spacing
 
-    build_neighbor_lists = build_cell_lists
+    def build_neighbor_lists(self, spacing: float) -> None:
+        """Candidates within spacing (range and skin) are stored, and serve until the next rebuild or until a row has moved by half the skin.
+
+        They are kept for point masses; spheres and half-spaces are joined anew in each step.
+        """
+        self.halo, self.listed = spacing, True
+
+    def _stored(self, rows: DataFrame, cutoff: float, step: int) -> DataFrame:
+        flat = rows.select("uid", "flags", *(F.col(f"{self.schema.position}.{a}").alias(a) for a in "xyz"))
+        skin = (self.halo or cutoff) - cutoff
+        if self.lists is None or due(step, self.period) or interactions.moved(flat, self.lists[1]) > skin / 2:
+            near = images.images(flat, self.domain, self.halo)
+            self.lists = (cut(interactions.candidates(flat, near, self.halo)), cut(flat))
+        return self.lists[0]
 
     def compute_half(self) -> None:
         self.half = True
@@ -195,7 +209,11 @@ class Simulation:
                 radius = rows.where(F.col("shape") == SPHERE).agg(F.max("radius")).first()[0] if SPHERE in self.shapes else None
                 if radius:
                     halo = max(halo, 2 * radius)
-                rows, touched = run_pair(rows, self._with_images(rows, halo), s.kernel, self.schema, self.shapes, s.cutoff, s.symbols, state, self.half, radius)
+                if self.listed and self.shapes == [POINT_MASS] and self.period > 1 and s.cutoff and s.cutoff <= self.halo:
+                    rows = cut(rows)  # it is read for the candidates and for the pairs
+                    rows, touched = run_pair(rows, rows, s.kernel, self.schema, self.shapes, s.cutoff, s.symbols, state, self.half, None, self._stored(rows, s.cutoff, step), self.domain.lengths)
+                else:
+                    rows, touched = run_pair(rows, self._with_images(rows, halo), s.kernel, self.schema, self.shapes, s.cutoff, s.symbols, state, self.half, radius)
                 after = touched if after is None else after.unionByName(touched).dropDuplicates(contacts.KEY) if touched is not None else after
             else:
                 rows = run_row(rows, s.kernel, s.symbols)
@@ -224,6 +242,11 @@ class Simulation:
 
     generate = run
 
+    def explain(self, step: int = 1) -> str:
+        """The physical plan of one step."""
+        state = contacts.empty(self.spark, self.schema) if self.history else None
+        return self.step(self.initial(), state, step)[0]._jdf.queryExecution().toString()
+
     def thermo(self) -> DataFrame:
         return self.spark.createDataFrame(self.thermo_rows, "step int, temperature double, pressure double")
 
