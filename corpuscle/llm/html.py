@@ -129,7 +129,7 @@ def path_features(path: tuple[str, ...]) -> tuple[int, ...]:
     for step in path:
         tag, _, marks = step.partition(" ")
         if tag not in _PLAIN:
-            found.add(f"in:{tag}")
+            found |= {f"in:{tag}"} if marks else {f"in:{tag}", f"bare:{tag}"}
         for w in _WORDS.findall(marks):
             found.add(f"mark:{w}")
     return tuple(sorted({_hash(x) for x in found}))
@@ -186,7 +186,7 @@ class Field:
         return self
 
 
-def train(pages: Sequence[Sequence[Block]], rounds: int = 60, ridge: float = 0.02) -> Field:
+def train(pages: Sequence[Sequence[Block]], rounds: int = 250, ridge: float = 0.002) -> Field:
     """A field of greatest penalised likelihood, by adaptive gradient steps over all labelled pages at once."""
     pages = [p for p in pages if p]
     n, longest = len(pages), max(map(len, pages))
@@ -297,7 +297,7 @@ def labelled_pages(n: int = PAGES, seed: int = 7) -> list[list[Block]]:
     def article() -> str:
         parts = [paragraph() for _ in range(rng.randrange(1, 10))]
         for extra in (advert, advert, sidebar, notice, form, menu):
-            if rng.random() < 0.08:
+            if rng.random() < 0.16:
                 parts.insert(rng.randrange(len(parts) + 1), extra())
         head = choice(f"<h1>{M}{words(2, 9)}</h1>", f"<h1>{M}{words(2, 9)}</h1>", f"<h1>{M}{sentence()}</h1>", f"<header><h1>{M}{words(2, 9)}</h1></header>", f"<h2>{M}{words(2, 9)}</h2>", "")
         inner = head + "".join(parts)
