@@ -18,10 +18,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from corpuscle.llm.shared import column
+from corpuscle.llm.shared import column, tidy
 
 #: Words, and pre-tokens, kept with their ids in a worker.
-CACHE = 400_000
+CACHE = 200_000
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
@@ -182,6 +182,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids") ->
     kept = [c for c in docs.columns if c != out]
     schema = T.StructType([*docs.select(*kept).schema, T.StructField(out, T.ArrayType(T.IntegerType(), False), False)])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(source.value)
         for batch in batches:
@@ -200,6 +201,7 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", out: str = "text") -> D
     kept = [c for c in docs.columns if c != out]
     schema = T.StructType([*docs.select(*kept).schema, T.StructField(out, T.StringType(), False)])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(source.value)
         for batch in batches:
@@ -216,6 +218,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
     """
     source = docs.sparkSession.sparkContext.broadcast(read_spec(path))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(source.value)
         strings = bpe.strings.__getitem__

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpuscle.llm.shared import column, slices
+from corpuscle.llm.shared import column, slices, tidy
 
 BUCKETS = 1 << 16
 #: Labelled documents of a language that are learned from, about: a bounded sample by hash of the id.
@@ -164,6 +164,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     unit = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) / float(1 << 20)
     some = labelled.where(F.col("lang").isin(list(sizes)) & (unit < share[F.col("lang")])).select("lang", "text")
 
+    @tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, np.ndarray] = {}
         for batch in batches:
@@ -195,6 +196,7 @@ def identify(docs: DataFrame, model: Model, carry: Sequence[str] = ("doc_id",),
     kinds = (T.StringType(), T.DoubleType(), T.ArrayType(T.StringType()), T.ArrayType(T.DoubleType()))
     schema = T.StructType([*docs.select(*carry).schema, *(T.StructField(n, k) for n, k in zip(names, kinds, strict=True))])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 1000):

@@ -25,7 +25,7 @@ from corpuscle.llm.simhash import join_roots
 
 #: Vectors that the centroids and code words are learned from (by hash of the id): a bounded sample.
 SAMPLE = 10_000
-#: Vectors of an inverted list, about; and the most lists (their centroids go to every executor).
+#: Vectors of an inverted list, about, for the label of most vectors; and the most lists (their centroids go to every executor).
 LIST_ROWS, MAX_LISTS = 300, 4_096
 SUBSPACES, WORDS = 8, 32
 #: Vectors of a list that one task holds at a time; longer lists are split, and each block meets each.
@@ -145,8 +145,10 @@ def links(vectors: DataFrame, cosine: float = 0.98, sample: int = SAMPLE) -> Dat
     singles = rows.where("not fine").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     if not number:
         return singles
-    width = {r.width: r.n for r in distinct.groupBy(F.size("embedding").alias("width")).agg(F.count("*").alias("n")).collect()}
-    parts = [_linked(distinct.where(F.size("embedding") == w), n, cosine, sample) for w, n in sorted(width.items())]
+    widths = [r.width for r in distinct.select(F.size("embedding").alias("width")).distinct().orderBy("width").limit(1000).collect()]
+    if len(widths) == 1000:
+        raise ValueError("vectors of a thousand different lengths")
+    parts = [_linked(distinct.where(F.size("embedding") == w), cosine, sample) for w in widths]
     counts = parts[0][0]
     edges = parts[0][1]
     for c, e in parts[1:]:
@@ -159,11 +161,12 @@ def links(vectors: DataFrame, cosine: float = 0.98, sample: int = SAMPLE) -> Dat
     return back.select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept")).unionByName(singles)
 
 
-def _linked(distinct: DataFrame, number: int, cosine: float, sample: int) -> tuple[DataFrame, DataFrame]:
+def _linked(distinct: DataFrame, cosine: float, sample: int) -> tuple[DataFrame, DataFrame]:
     """(low, key, others: linked rows of other vectors) and spanning edges (a, b), of distinct vectors of one length."""
     spark = distinct.sparkSession
     some = distinct.select("embedding", "low", "key").orderBy(F.xxhash64("low", "key")).limit(sample).select("embedding").toPandas()
-    lists = max(1, min(MAX_LISTS, number // LIST_ROWS, len(some) // 4))
+    largest = distinct.groupBy("label").count().agg(F.max("count")).first()[0]  # only vectors of one label meet
+    lists = max(1, min(MAX_LISTS, largest // LIST_ROWS, len(some) // 4))
     state = spark.sparkContext.broadcast(Quantizer.fit(unit(np.stack(some["embedding"].to_numpy()))[0], lists))
     radius = float(np.sqrt(2 - 2 * cosine))
 

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuscle.llm.shared import column, connected, written
+from corpuscle.llm.shared import column, connected, tidy, written
 
 SEED, SHINGLE, PREFIX, FANOUT = 42, 3, 16, 8
 #: Ranges of Gray rank (there are fewer when they would hold under LEAST_ROWS fingerprints, and more when they
@@ -53,6 +53,7 @@ def fingerprint(text: str | None, size: int = SHINGLE) -> int:
 def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """(doc_id, fp) of every row; fp is the fingerprint as a signed long. A null text counts as empty."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = [fingerprint(t.as_py(), size) for t in column(batch, "text")]

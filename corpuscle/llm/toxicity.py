@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpuscle.llm.shared import column, written
+from corpuscle.llm.shared import column, tidy, written
 
 LETTERS, REACH, GAP = 32, 3, 0.6
 #: Labelled documents that are learned from, by hash of the id: a bounded sample.
@@ -38,7 +38,7 @@ SHARP, BOUND, TOP = 6.0, 1.5, 3
 #: Log-likelihood ratio (G2) from which a word is a witness.
 EVIDENCE = 18.0
 #: Words kept with their scores in a worker.
-CACHE = 400_000
+CACHE = 200_000
 
 _LEET = str.maketrans("013457", "oieast")
 _SPACED = re.compile(r"(?<!\S)[^\W\d_](?:[\s.*_-]{1,3}[^\W\d_]){3,}(?!\w)")
@@ -232,7 +232,7 @@ def landmarks(toxic: list[str], clean: list[str]) -> tuple[str, ...]:
     return (*marks, *pick(clean, LANDMARKS - len(marks)))
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def columns(marks: tuple[str, ...]) -> np.ndarray:
     return np.ascontiguousarray(vectors(marks).T)
 
@@ -297,6 +297,7 @@ def train(docs: DataFrame, labels: DataFrame, toxic_sample: int = TOXIC_SAMPLE,
     some = per.where("toxic = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(toxic_sample).unionByName(per.where("toxic = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(clean_sample))
     taken = written(docs.select("doc_id", "text").where("text is not null").join(F.broadcast(some), "doc_id"), "labelled")  # at most as many labels as asked for
 
+    @tidy
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(word, the word before its first place) of each toxic document, so that copies of a document are one context; (word, null, count) over a task's clean ones."""
         clean: dict[str, int] = {}
@@ -353,30 +354,35 @@ def decided(docs: DataFrame, model: Model, kept: Sequence[str] = ("doc_id",)) ->
     kept = list(kept)
     schema = T.StructType([*docs.select(*kept).schema, T.StructField("word", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("values", T.ArrayType(T.DoubleType()))])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = state.value
-        known: dict[str, float] = {}
-        for batch in batches:
-            texts = column(batch, "text")
-            for lo in range(0, batch.num_rows, 256):
-                sets = [words_of(t.as_py() or "") for t in texts[lo : lo + 256]]
-                if len(known) > CACHE:
-                    known.clear()
-                score_words(model, set().union(*sets), known)
-                words, values = [], []
-                for s in sets:
-                    top: dict[str, tuple[float, str]] = {}
-                    for w in sorted(w for w in s if known[w] > -BOUND):
-                        top.setdefault(letters(w), (known[w], w))
-                    best = sorted(top.values(), key=lambda x: (-x[0], x[1]))[:TOP]
-                    words.append(best[0][1] if best else None)
-                    values.append([*(x[0] for x in best), *[-BOUND] * (TOP - len(best))])
-                part = batch.slice(lo, 256)
-                yield pa.RecordBatch.from_arrays([*(column(part, c) for c in kept), pa.array(words, pa.string()), pa.array([len(s) for s in sets], pa.int64()), pa.array(values, pa.list_(pa.float64()))], [*kept, "word", "n_words", "values"])
+        for part, words, n, values in _decide(state.value, batches):
+            yield pa.RecordBatch.from_arrays([*(column(part, c) for c in kept), pa.array(words, pa.string()), pa.array(n, pa.int64()), pa.array(values, pa.list_(pa.float64()))], [*kept, "word", "n_words", "values"])
 
     return docs.select(*dict.fromkeys([*kept, "text"])).mapInArrow(run, schema)
 
 
+def _decide(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str | None], list[int], list[list[float]]]]:
+    """Parts of batches with their rows' decisive words, numbers of words and TOP values."""
+    known: dict[str, float] = {}
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 256):
+            part = batch.slice(lo, 256)
+            sets = [words_of(t.as_py() or "") for t in column(part, "text")]
+            if len(known) > CACHE:
+                known.clear()
+            score_words(model, set().union(*sets), known)
+            words, values = [], []
+            for s in sets:
+                top: dict[str, tuple[float, str]] = {}
+                for w in sorted(w for w in s if known[w] > -BOUND):
+                    top.setdefault(letters(w), (known[w], w))
+                best = sorted(top.values(), key=lambda x: (-x[0], x[1]))[:TOP]
+                words.append(best[0][1] if best else None)
+                values.append([*(x[0] for x in best), *[-BOUND] * (TOP - len(best))])
+            yield part, words, [len(s) for s in sets], values
+
+
 def hardest(words: DataFrame, model: Model, n: int) -> list[tuple[str, int]]:
     """The n words that the first machine holds most toxic, with their counts of clean documents."""
     state = words.sparkSession.sparkContext.broadcast(model)
@@ -397,17 +403,14 @@ def score(docs: DataFrame, model: Model, carry: Sequence[str] = ("doc_id",), pre
     text of no insult. Repeated rows and null ids stay.
     """
     state = docs.sparkSession.sparkContext.broadcast(model)
-    names = [prefix + x for x in ("n_words", "values", "word")]
-    rows = decided(docs, model, carry)
-    rows = rows.toDF(*carry, prefix + "word", prefix + "n_words", prefix + "values")
-    schema = T.StructType([*docs.select(*carry).schema, T.StructField(prefix + "score", T.DoubleType()), T.StructField(prefix + "predicted", T.IntegerType()), T.StructField(prefix + "word", T.StringType())])
+    names = [prefix + x for x in ("score", "predicted", "word")]
+    carry = list(carry)
+    schema = T.StructType([*docs.select(*carry).schema, *(T.StructField(n, k) for n, k in zip(names, (T.DoubleType(), T.IntegerType(), T.StringType()), strict=True))])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = batch.num_rows
-            if n:
-                values = np.array(column(batch, names[1]).to_pylist(), np.float64).reshape(n, TOP)
-                p = state.value.document(values, np.array(column(batch, names[0]).to_pylist(), np.float64))
-                yield pa.RecordBatch.from_arrays([*(column(batch, c) for c in carry), pa.array(p), pa.array((p >= 0.5).astype(np.int32)), column(batch, names[2])], [*carry, prefix + "score", prefix + "predicted", prefix + "word"])
+        for part, words, n, values in _decide(state.value, batches):
+            p = state.value.document(np.array(values, np.float64).reshape(-1, TOP), np.array(n, np.float64))
+            yield pa.RecordBatch.from_arrays([*(column(part, c) for c in carry), pa.array(p), pa.array((p >= 0.5).astype(np.int32)), pa.array(words, pa.string())], [*carry, *names])
 
-    return rows.mapInArrow(run, schema)
+    return docs.select(*dict.fromkeys([*carry, "text"])).mapInArrow(run, schema)
