@@ -50,6 +50,30 @@ def test_bins_equal_theta(spark):
     assert interactions.cutoff_pairs(rows, 0.1, salt=3).count() == binned.count()
 
 
+@pytest.mark.parametrize("step", [0.25, 0.1])
+def test_range_join_at_the_faces_of_cells(spark, step):
+    """Points on a lattice whose distances are the range itself, negative and far from the origin, against a theta join."""
+    places = [(x * step + f, y * step, z * step - f) for x in range(-4, 5) for y in range(-2, 3) for z in range(-2, 2) for f in (0.0, 1000.0)]
+    rng = np.random.default_rng(1)
+    places += [tuple(p) for p in rng.uniform(-1, 1, (150, 3)).tolist()]
+    rows = spark.createDataFrame([(k, *p, 0) for k, p in enumerate(places)] + [(9999, None, 0.0, 0.0, 0)], "uid long, x double, y double, z double, flags int")
+    p = np.array(places)
+    for size in (step, 1.5 * step, math.nextafter(2 * step, 9)):
+        d = p[:, None] - p
+        want = (d * d).sum(axis=2) < size * size
+        np.fill_diagonal(want, False)
+        got = interactions.cutoff_pairs(rows, size).select("uid_i", "uid_j").collect()
+        assert sorted(map(tuple, got)) == sorted(map(tuple, np.argwhere(want).tolist()))
+
+
+def test_left_rows_travel_to_few_cells(spark):
+    rows = spark.range(20_000).select(*(F.rand(k).alias(a) for k, a in enumerate("xyz")))
+    n = rows.select(F.explode(grid.reached(("x", "y", "z"), 0.01, 0.01 * grid.WIDTH)).alias("c")).where("c is not null").count()
+    assert 6.7 < n / 20_000 < 7.1
+    with pytest.raises(ValueError):
+        grid.reached(("x", "y", "z"), 1.0, 2.0)
+
+
 def test_momentum_is_kept_and_half_equals_full(spark):
     s, rows = catalog._melt(spark, SF)
     rows = rows.withColumn("flags", F.lit(0))
