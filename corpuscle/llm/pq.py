@@ -91,12 +91,12 @@ class Quantizer:
             left += ((part - self.words[s][codes[:, s]]) ** 2).sum(axis=1)
         return codes, np.sqrt(left)
 
-    def probes(self, x: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
-        """(row, list) of all lists that can hold a vector within radius of the row."""
-        own, d = nearest(x, self.centroids)
+    def probes(self, x: np.ndarray, own: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
+        """(row, list) of all lists from the row's own on that can hold a vector within radius of the row: each pair of lists meets once."""
+        d = nearest(x, self.centroids)[1]
         mine = d[np.arange(len(x)), own][:, None]
         gap = self.gaps[own]
-        return np.nonzero(d - mine <= 2 * (radius + SLACK) * gap + SLACK)
+        return np.nonzero((d - mine <= 2 * (radius + SLACK) * gap + SLACK) & (np.arange(d.shape[1]) >= own[:, None]))
 
     def distances(self, queries: np.ndarray, which: int, codes: np.ndarray) -> np.ndarray:
         """Squared distances of queries from the coded vectors of list which."""
@@ -191,13 +191,14 @@ def _linked(distinct: DataFrame, cosine: float, sample: int) -> tuple[DataFrame,
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
                 x = unit(np.stack(column(part, "embedding").to_numpy(zero_copy_only=False)))[0]
-                row, to = q.probes(x, radius)
-                yield pa.RecordBatch.from_arrays([*(column(part, c).take(pa.array(row)) for c in ("low", "key", "label", "copies", "embedding")), pa.array(to.astype(np.int32))], ["low", "key", "label", "copies", "embedding", "list"])
+                own = column(part, "list").to_numpy()
+                row, to = q.probes(x, own, radius)
+                yield pa.RecordBatch.from_arrays([*(column(part, c).take(pa.array(row)) for c in ("low", "key", "label", "copies", "embedding")), pa.array(to.astype(np.int32)), pa.array(to == own[row])], ["low", "key", "label", "copies", "embedding", "list", "home"])
 
-    asked = base.select("low", "key", "label", "copies", "embedding").mapInArrow(probe, "low long, key long, label string, copies long, embedding array<float>, list int")
+    asked = base.mapInArrow(probe, "low long, key long, label string, copies long, embedding array<float>, list int, home boolean")
     asked = asked.join(sizes, ["label", "list"]).withColumn("qblock", block).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tagged = stored.select("label", "list", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("qblock"), "low", "key", "copies", "embedding", F.lit(True).alias("stored"))
-    both = tagged.unionByName(asked.select("label", "list", "block", "qblock", "low", "key", "copies", "embedding", F.lit(False).alias("stored")))
+    tagged = stored.select("label", "list", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("qblock"), "low", "key", "copies", "embedding", F.lit(True).alias("stored"), F.lit(True).alias("home"))
+    both = tagged.unionByName(asked.select("label", "list", "block", "qblock", "low", "key", "copies", "embedding", F.lit(False).alias("stored"), "home"))
 
     def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         q = state.value
@@ -206,21 +207,24 @@ def _linked(distinct: DataFrame, cosine: float, sample: int) -> tuple[DataFrame,
         x = unit(np.stack(a["embedding"].to_numpy()))[0] if len(a) else np.zeros((0, 1))
         y = unit(np.stack(b["embedding"].to_numpy()))[0] if len(b) else np.zeros((0, 1))
         low_a, key_a, low_b, key_b = (v.to_numpy() for v in (a["low"], a["key"], b["low"], b["key"]))
-        copies = b["copies"].to_numpy()
-        others = np.zeros(len(a), np.int64)
+        copies_a, copies_b, home = a["copies"].to_numpy(), b["copies"].to_numpy(), a["home"].to_numpy()
+        others, others_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
         names, place = np.unique(np.concatenate([low_a, low_b]), return_inverse=True)
         root = np.arange(len(names))
         if len(a) and len(b):
             for i, j in neighbours(q, int(key[1]), x, y, cosine):
                 differ = (low_a[i] != low_b[j]) | (key_a[i] != key_b[j])
                 i, j = i[differ], j[differ]
-                others += np.bincount(i, copies[j], len(a)).astype(np.int64)
+                others += np.bincount(i, copies_b[j], len(a)).astype(np.int64)
+                away = ~home[i]  # vectors of one list meet both ways, those of two lists once
+                others_b += np.bincount(j[away], copies_a[i[away]], len(b)).astype(np.int64)
                 join_roots(root, place[i], place[len(a) + j])
+        low, code, others = np.concatenate([low_a, low_b]), np.concatenate([key_a, key_b]), np.concatenate([others, others_b])
         found = np.flatnonzero(others)
         linked = np.flatnonzero(root != np.arange(len(names)))
         n = len(found) + len(linked)
         out = pd.DataFrame({"low": np.zeros(n, np.int64), "key": np.zeros(n, np.int64), "others": np.zeros(n, np.int64), "a": np.zeros(n, np.int64), "b": np.zeros(n, np.int64), "edge": np.arange(n) >= len(found)})
-        out.loc[: len(found) - 1, ["low", "key", "others"]] = np.column_stack([low_a[found], key_a[found], others[found]])
+        out.loc[: len(found) - 1, ["low", "key", "others"]] = np.column_stack([low[found], code[found], others[found]])
         if len(linked):
             out.loc[len(found) :, ["a", "b"]] = np.column_stack([names[root[linked]], names[linked]])
         return out
