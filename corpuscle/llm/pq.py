@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuscle.llm.shared import column, connected, written
+from corpuscle.llm.shared import column, connected, lowest, written
 from corpuscle.llm.simhash import join_roots
 
 #: Vectors that the centroids and code words are learned from (by hash of the id): a bounded sample.
@@ -164,8 +164,8 @@ def links(vectors: DataFrame, cosine: float = 0.98, sample: int = SAMPLE) -> Dat
 def _linked(distinct: DataFrame, cosine: float, sample: int) -> tuple[DataFrame, DataFrame]:
     """(low, key, others: linked rows of other vectors) and spanning edges (a, b), of distinct vectors of one length."""
     spark = distinct.sparkSession
-    some = distinct.select("embedding", "low", "key").orderBy(F.xxhash64("low", "key")).limit(sample).select("embedding").toPandas()
-    largest = distinct.groupBy("label").count().agg(F.max("count")).first()[0]  # only vectors of one label meet
+    largest, total = distinct.groupBy("label").count().agg(F.max("count"), F.sum("count")).first()  # only vectors of one label meet
+    some = lowest(distinct.select("embedding", "low", "key"), sample, total, "low", "key").select("embedding").toPandas()
     lists = max(1, min(MAX_LISTS, largest // LIST_ROWS, len(some) // 4))
     state = spark.sparkContext.broadcast(Quantizer.fit(unit(np.stack(some["embedding"].to_numpy()))[0], lists))
     radius = float(np.sqrt(2 - 2 * cosine))

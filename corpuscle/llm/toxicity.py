@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpuscle.llm.shared import column, tidy, written
+from corpuscle.llm.shared import column, lowest, tidy, written
 
 LETTERS, REACH, GAP = 32, 3, 0.6
 #: Labelled documents that are learned from, by hash of the id: a bounded sample.
@@ -294,7 +294,8 @@ def train(docs: DataFrame, labels: DataFrame, toxic_sample: int = TOXIC_SAMPLE,
     """
     spark = docs.sparkSession
     per = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    some = per.where("toxic = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(toxic_sample).unionByName(per.where("toxic = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(clean_sample))
+    total = {r.toxic: r["count"] for r in per.groupBy("toxic").count().collect()}
+    some = lowest(per.where("toxic = 1"), toxic_sample, total.get(1, 0), "doc_id").unionByName(lowest(per.where("toxic = 0"), clean_sample, total.get(0, 0), "doc_id"))
     taken = written(docs.select("doc_id", "text").where("text is not null").join(F.broadcast(some), "doc_id"), "labelled")  # at most as many labels as asked for
 
     @tidy
@@ -340,7 +341,6 @@ def train(docs: DataFrame, labels: DataFrame, toxic_sample: int = TOXIC_SAMPLE,
     near = dict(hardest(calm, model, HARD))
     model = fit_linear(sorted(toxic), sorted({*clean, *near}))
     fit_sharp(model, toxic, dict(hardest(calm, model, HARD)))
-    total = {r.toxic: r["count"] for r in per.groupBy("toxic").count().collect()}
     values = np.array([(r.toxic, r.n_words, *r.values) for r in decided(taken, model, ["toxic"]).collect()], np.float64)  # one row for each sampled label
     y = (values[:, 0] == 1).astype(float)
     weight = np.where(y > 0, total[1] / n_toxic, total[0] / n_clean)

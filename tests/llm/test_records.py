@@ -44,6 +44,14 @@ def test_components(spark):
     assert shared.connected(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_lowest_is_exact(spark):
+    rows = spark.range(0, 50_000, 1, 20).toDF("k")
+    for n in (1, 100, 3_000, 60_000):
+        want = [r.k for r in rows.orderBy(F.xxhash64("k"), "k").limit(n).collect()]
+        assert [r.k for r in shared.lowest(rows, n, 50_000, "k").collect()] == want
+    assert shared.lowest(rows.where("false"), 5, 0, "k").count() == 0
+
+
 def brute_print(text):
     import re
 
