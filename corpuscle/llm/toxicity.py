@@ -289,14 +289,15 @@ def train(docs: DataFrame, labels: DataFrame, toxic_sample: int = TOXIC_SAMPLE,
     """A model from docs (doc_id, text) and labels (doc_id, toxic).
 
     The given numbers of toxic and clean labels, by hash of the id, choose the documents; a
-    document with labels of both kinds counts as toxic. Without toxic or clean
+    document with labels of both kinds counts as toxic, and of an id's texts the least one is learned from. Without toxic or clean
     documents, or without a witness, the model finds nothing toxic.
     """
     spark = docs.sparkSession
     per = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     total = {r.toxic: r["count"] for r in per.groupBy("toxic").count().collect()}
     some = lowest(per.where("toxic = 1"), toxic_sample, total.get(1, 0), "doc_id").unionByName(lowest(per.where("toxic = 0"), clean_sample, total.get(0, 0), "doc_id"))
-    taken = written(docs.select("doc_id", "text").where("text is not null").join(F.broadcast(some), "doc_id"), "labelled")  # at most as many labels as asked for
+    taken = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(some), "doc_id")  # at most as many labels as asked for
+    taken = written(taken.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")), "labelled")
 
     @tidy
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
