@@ -6,6 +6,7 @@ Values are rounded to six decimals on both sides, as sums differ in their order.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -16,8 +17,8 @@ from corpuscle.model import FIXED, GLOBAL, HALFSPACE, INFINITE, INT, MATRIX, QUA
 from corpuscle.operators import aggregates, contacts, grid, images, interactions
 from corpuscle.operators.kernels import Row, run_pair, run_row
 from corpuscle.plans import physics
-from corpuscle.plans.simulation import Simulation
-from corpuscle.sources import particles
+from corpuscle.plans.simulation import Simulation, shared_folder
+from corpuscle.sources import particles, sinks
 
 BOX = Domain.of([-0.6, -0.6, -0.6, 0.6, 0.6, 0.6])
 CUTOFF, DT, SIGMA6 = 0.1, 0.002, 1e-14
@@ -490,6 +491,42 @@ def particle_lattice(spark, sf_dir):
     return particles.particle_lattice(spark, BOX, (0.1, 0.2, 0.3)).select("uid", *rows_of(x=F.col("x"), y=F.col("y"), z=F.col("z")))
 
 
+@query(P(f"SELECT uid, 2 AS shape, {R('x', 'position_x')}, {R('z', 'position_z')}, {R('vx', 'velocity_x')}, {R('mass', 'mass')}, 1.0::DOUBLE AS radius, flags FROM pts WHERE ((x >= {d(-0.1)} AND x < {d(0.1)} AND y >= {d(-0.1)} AND y < {d(0.1)} AND z >= {d(-0.1)} AND z < {d(0.1)}) OR (flags & 13) <> 0)"))
+def csv_particles(spark, sf_dir):
+    """Points written as headerless CSV and read by declared columns: those in the box, and fixed ones; a column that the file lacks has its default."""
+    path = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    pts(spark, sf_dir).select("uid", *XYZ, "vx", "vy", "vz", "mass", "flags").write.csv(path)
+    s = _schema("mass", "linear_velocity")
+    s.add("radius", REAL, 1.0)
+    out = particles.read_csv(spark, path, ["uid", "position", "linear_velocity", "mass", "flags"], s, 2, Domain.of([-0.1] * 3 + [0.1] * 3))
+    return out.select("uid", "shape", *rows_of(position_x=F.col("position.x"), position_z=F.col("position.z"), velocity_x=F.col("linear_velocity.x"), mass=F.col("mass"), radius=F.col("radius")), "flags")
+
+
+@query("SELECT CAST(a.i AS INT) AS kind_i, CAST(b.i AS INT) AS kind_j, round(a.i + 0.5::DOUBLE * b.i, 6) + 0.0::DOUBLE AS value FROM range(10) a(i), range(10) b(i)")
+def csv_lookup(spark, sf_dir):
+    """A table by pairs of kinds, from CSV."""
+    path = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    k = F.col("id")
+    spark.range(100).select(F.floor(k / 10), k % 10, F.floor(k / 10) + 0.5 * (k % 10)).write.csv(path)
+    return particles.read_lookup(spark, path).select("kind_i", "kind_j", r6(F.col("value")).alias("value"))
+
+
+@query(P(f"SELECT uid, CAST(s.i AS INT) AS step, {R(f'x + s.i * vx * {d(DT)}', 'x')} FROM pts, range(3) s(i) WHERE s.i <> 1"))
+def step_table(spark, sf_dir):
+    """Steps 0 to 2 written to a table by step, step 2 twice; it is read without step 1, whose files aren't opened."""
+    path = f"{shared_folder(spark)}/steps-{uuid.uuid4().hex}"
+    for k in (0, 1, 2, 2):
+        sinks.write_steps(pts(spark, sf_dir).select("uid", (F.col("x") + k * F.col("vx") * DT).alias("x")), path, k)
+    return spark.read.parquet(path).where("step <> 1").select("uid", "step", r6(F.col("x")).alias("x"))
+
+
+@query("SELECT category, round(sum(ms), 6) + 0.0::DOUBLE AS ms FROM (SELECT regexp_extract(event_type, '^[^_:]*') AS category, value AS ms FROM events) e GROUP BY category")
+def timer_categories(spark, sf_dir):
+    """Sums of timings by the first part of their names; events stand for timers."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("name"), F.col("value").alias("ms"))
+    return aggregates.timer_sums(e).select("category", r6(F.col("ms")).alias("ms"))
+
+
 # contact history
 
 
@@ -538,6 +575,14 @@ def contact_prune(spark, sf_dir):
     return _history(spark, sf_dir, 3)
 
 
+@query(P(f"SELECT coalesce(a.uid_i, b.uid_i) AS uid_i, coalesce(a.uid_j, b.uid_j) AS uid_j, CASE WHEN b.depth IS NULL THEN 0 WHEN a.depth IS NULL THEN 1 ELSE 2 END AS seen, {R('CASE WHEN b.depth IS NULL THEN 0 ELSE coalesce(a.depth, b.depth) END', 'first_depth')} FROM a FULL JOIN b USING (uid_i, uid_j)", _at_sql("a", 0.0) + ", " + _at_sql("b", 0.05)))
+def contact_reset(spark, sf_dir):
+    """Lists that keep their slots: what the second step doesn't touch has the defaults again."""
+    first = _seen(_contacts_at(spark, sf_dir, 0.0), spark.createDataFrame([], "uid_i long, uid_j long, seen int, first_depth double"))
+    touched = _seen(_contacts_at(spark, sf_dir, 0.05), first)
+    return contacts.reset(touched, first, _DEFAULTS).select("uid_i", "uid_j", "seen", r6(F.col("first_depth")).alias("first_depth"))
+
+
 RESTITUTION, COLLISION, POISSON, MU_D = 0.5, 0.01, 0.2, 0.5
 _L, _K = math.log(RESTITUTION), 2 * (1 - POISSON) / (2 - POISSON)
 _KN, _GN = (math.pi**2 + _L**2) / COLLISION**2, -2.0 * _L / COLLISION

@@ -23,11 +23,17 @@ def due(step: int, every: int) -> bool:
     return step == 0 or (step + 1) % every == 0
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df without its lineage, written to the checkpoint folder that all executors share."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that all executors share: spark.checkpoint.dir, or a folder of our own where it is unset."""
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="corpuscle-steps-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df without its lineage, written to the checkpoint folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -254,4 +260,4 @@ class Simulation:
         return self.spark.createDataFrame(self.timings, "step int, name string, ms double")
 
 
-__all__ = ["Simulation", "Stage", "cut", "due"]
+__all__ = ["Simulation", "Stage", "cut", "due", "shared_folder"]
