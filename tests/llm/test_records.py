@@ -10,7 +10,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from corpuscle.llm import licenses, media, mixing, pq, shared, simhash, urls
+from corpuscle.llm import licenses, media, mixing, pq, resemblance, shared, simhash, urls
 from corpuscle.llm.queries import oracle_sql, queries
 
 SF = "/root/testdata/sf0.001"
@@ -344,3 +344,56 @@ def test_pipeline_on_small_documents(spark):
     assert seen[0] >= seen[1] >= seen[2] >= seen[3] and seen[1] >= 0.97 * seen[0] and seen[-1] == seen[-2] > 0
     got = cp.run(spark, SF)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, step.collect()))
+
+
+def brute_groups(docs):
+    """doc_id -> smallest doc_id over links of resemblance 0.8 of five-word shingles, all pairs; and the number of linked pairs of different sets."""
+    sets = {}
+    for k, t in docs.items():
+        w = (t or "").encode().lower().split()
+        sets[k] = frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+    ids = sorted(sets)
+    root, links = np.arange(max(ids) + 1), 0
+    for a, b in itertools.combinations(ids, 2):
+        x, y = sets[a], sets[b]
+        if x == y or 5 * min(len(x), len(y)) >= 4 * max(len(x), len(y)) and 5 * len(x & y) >= 4 * len(x | y):
+            links += x != y
+            simhash.join_roots(root, np.array([a]), np.array([b]))
+    return {k: int(root[k]) for k in ids}, links
+
+
+def test_near_duplicate_stage_equals_brute_force(spark, monkeypatch):
+    import corpus_pipeline as cp
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rng = np.random.default_rng(8)
+    words = [f"w{k}" for k in range(400)]
+    made, far = {}, 0
+    for k in range(40):  # copies with changed words, of 20 to 300 words, and a line that all hold
+        base = [*"one line that every text of these does hold".split(), *rng.choice(words, rng.integers(20, 300))]
+        for c in range(5):
+            text = list(base)
+            for at in rng.integers(9, len(base), 0 if c == 0 else max(1, len(base) * c // 90)):
+                text[at] = f"new{rng.integers(1_000_000)}"
+            made[100_000 + 5 * k + c] = " ".join(text)
+        far += (simhash.fingerprint(made[100_000 + 5 * k], 5) ^ simhash.fingerprint(made[100_001 + 5 * k], 5)).bit_count() > 2
+    assert far > 10
+    both = docs.select("doc_id", "text").unionByName(spark.createDataFrame(list(made.items()), "doc_id long, text string"))
+    want, links = brute_groups({r.doc_id: r.text for r in both.collect()})
+    assert links > 40
+    monkeypatch.setattr(resemblance, "PAIRS", 500)
+    for common in (4, 10**9):  # the order of shingles changes no group
+        monkeypatch.setattr(resemblance, "COMMON", common)
+        got = {r.doc_id: r.component_id for r in resemblance.groups(both).collect()}
+        assert got == want
+    assert sorted(r.doc_id for r in cp.near_duplicates(spark, both, SF).collect()) == sorted({*want.values()})
+
+
+def test_resemblance_odd_rows(spark, odd, none):
+    got = resemblance.groups(odd).collect()
+    assert len(got) == odd.count()
+    by = {r.doc_id: r for r in got if r.doc_id}
+    assert by[1].component_id == by[2].component_id == by[3].component_id == 1 and by[6].component_id == 5
+    kept = resemblance.deduplicated(odd)
+    assert kept.columns == odd.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 0, 1, 4, 5, 7, 8]
+    assert resemblance.groups(none).count() == 0 and resemblance.deduplicated(none).count() == 0
