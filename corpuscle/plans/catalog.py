@@ -277,16 +277,21 @@ def cell_slots(spark, sf_dir):
 
 
 _DIST = f"sqrt({_RSQ})"
-MAX_RADIUS = 0.03 + 0.002 * 9
 _CONTACTS = f"c AS (SELECT i.uid AS uid_i, j.uid AS uid_j, {_DIST} AS dist, {_DIST} - i.radius - j.radius AS depth, (i.x - j.x) / {_DIST} AS nx, (i.y - j.y) / {_DIST} AS ny, (i.z - j.z) / {_DIST} AS nz, j.x AS jx, j.radius AS rj FROM pts i, pts j WHERE i.uid <> j.uid AND i.flags & 4 = 0 AND {_RSQ} < (i.radius + j.radius) * (i.radius + j.radius))"
 
 
 @query(P(f"SELECT uid_i, uid_j, {R('depth', 'depth')}, {R('nx', 'normal_x')}, {R('jx + nx * (rj + 0.5::DOUBLE * depth)', 'point_x')} FROM c", _CONTACTS))
 def sphere_contacts(spark, sf_dir):
-    out = interactions.sphere_contacts(pts(spark, sf_dir), MAX_RADIUS)
+    rows = pts(spark, sf_dir)
+    out = interactions.sphere_contacts(rows, _max_radius(rows))
     return out.select("uid_i", "uid_j", *rows_of(depth=F.col("depth"), normal_x=F.col("normal_x"), point_x=F.col("point_x")))
 
 
+def _max_radius(rows: DataFrame) -> float:
+    """The largest radius of the rows; 1 without any."""
+    return rows.agg(F.max("radius")).first()[0] or 1.0
+
+
 def _planes(spark):
     rows = [(100000, 0.0, 0.0, -0.3, 0.0, 0.0, 1.0, 13, 1), (100001, 0.0, 0.0, 0.3, 0.0, 0.0, -1.0, 13, 1)]
     return spark.createDataFrame(rows, "uid long, x double, y double, z double, normal_x double, normal_y double, normal_z double, flags int, shape int")
@@ -535,7 +540,8 @@ def _drift(rows: DataFrame, t: float) -> DataFrame:
 
 
 def _contacts_at(spark, sf_dir, t: float) -> DataFrame:
-    return interactions.sphere_contacts(_drift(pts(spark, sf_dir), t), MAX_RADIUS).select("uid_i", "uid_j", "depth")
+    rows = pts(spark, sf_dir)
+    return interactions.sphere_contacts(_drift(rows, t), _max_radius(rows)).select("uid_i", "uid_j", "depth")
 
 
 def _at_sql(name: str, t: float) -> str:
@@ -615,7 +621,7 @@ def spring_dashpot_step(spark, sf_dir):
     s.add_contact("impact_velocity_magnitude", REAL)
     rows = _nested(spark, sf_dir, s)
     symbols = {"dt": DT, "restitution": RESTITUTION, "collision_time": COLLISION, "poisson": POISSON}
-    out, state = run_pair(rows, rows, physics.spring_dashpot, s, [0], None, symbols, contacts.empty(spark, s), max_radius=MAX_RADIUS)
+    out, state = run_pair(rows, rows, physics.spring_dashpot, s, [0], None, symbols, contacts.empty(spark, s), max_radius=_max_radius(rows))
     per = state.groupBy("uid_i").agg(F.count("*").alias("n"), F.sum("is_sticking").alias("sticking")).withColumnRenamed("uid_i", "uid")
     out = out.join(per, "uid", "left")
     r4 = lambda c: F.round(c, 4) + F.lit(0.0)  # noqa: E731  forces reach 1e5
