@@ -69,9 +69,9 @@ class ByteBPE:
         back = {c: b for b, c in letters.items()}
         self.byte_id = [vocab[letters[b]] for b in range(256)]
         self.strings: dict[int, bytes] = {i: bytes(back[c] for c in s) for s, i in vocab.items() if all(c in back for c in s)}
-        pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
+        couples = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
         # (left id, right id), as one int: rank and the id of the joined symbol
-        self.merges = {vocab[x] << 20 | vocab[y]: (rank, vocab[x + y]) for rank, (x, y) in enumerate(pairs)}
+        self.merges = {vocab[x] << 20 | vocab[y]: (rank, vocab[x + y]) for rank, (x, y) in enumerate(couples)}
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in spec["added_tokens"]):
             raise ValueError("added tokens with word or space options aren't supported")

@@ -154,7 +154,7 @@ def sequence(found: Sequence[Block]) -> list[tuple[int, ...]]:
 
 @dataclass
 class Field:
-    """Weights: those of the features for label 1 (label 0 has none), of the first label, and of pairs of labels."""
+    """Weights: those of the features for label 1 (label 0 has none), of the first label, and of couples of labels."""
 
     emit: np.ndarray = field(default_factory=lambda: np.zeros(FEATURES))
     start: np.ndarray = field(default_factory=lambda: np.zeros(2))

@@ -30,7 +30,7 @@ SEED, SHINGLE, PREFIX, FANOUT = 42, 3, 16, 8
 #: Ranges of Gray rank (there are fewer when they would hold under LEAST_ROWS fingerprints, and more when they
 #: would hold over RANGE_ROWS). A range is never cut inside a leading pattern.
 RANGES, LEAST_ROWS, RANGE_ROWS = 64, 100, 50_000
-#: Pairs of fingerprint and node that are looked at together.
+#: Couples of fingerprint and node that are looked at together.
 FRONTIER = 2_000_000
 
 
@@ -97,7 +97,7 @@ class GrayTree:
             self.levels.append((mask & ~above, pattern))
 
     def search(self, queries: np.ndarray, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(places in queries, places in self.fps) of all pairs with at most limit differing bits, in portions."""
+        """(places in queries, places in self.fps) of all couples with at most limit differing bits, in portions."""
         top = len(self.levels[-1][0])
         if not top:
             return

@@ -78,7 +78,7 @@ def test_simhash_query(spark):
         assert r.fingerprint == f"{prints[r.doc_id]:016x}" and r.component_id == root[r.doc_id]
 
 
-def test_gray_tree_finds_all_pairs():
+def test_gray_tree_finds_all_couples():
     rng = np.random.default_rng(4)
     base = rng.integers(0, 1 << 64, 40, np.uint64)
     fps = np.unique(np.concatenate([base, *(base ^ (np.uint64(1) << rng.integers(0, 64, 40).astype(np.uint64)) for _ in range(30)), np.array([0, 1, 3, 7, (1 << 64) - 1], np.uint64)]))
@@ -325,9 +325,9 @@ def test_anchors_are_exact():
     for text in licenses.TEMPLATES.values():
         words = licenses.normal_words(text)
         chosen = licenses.anchors(words, 0.8, pool)
-        pairs = list(itertools.pairwise(words))
-        missing = sum(bool(set(p) & set(chosen)) for p in pairs)
-        assert len(pairs) - missing < len(pairs) * 0.8 / 1.2 or not chosen
+        couples = list(itertools.pairwise(words))
+        missing = sum(bool(set(p) & set(chosen)) for p in couples)
+        assert len(couples) - missing < len(couples) * 0.8 / 1.2 or not chosen
     assert rng is not None
 
 
@@ -347,7 +347,7 @@ def test_pipeline_on_small_documents(spark):
 
 
 def brute_groups(docs):
-    """doc_id -> smallest doc_id over links of resemblance 0.8 of five-word shingles, all pairs; and the number of linked pairs of different sets."""
+    """doc_id -> smallest doc_id over links of resemblance 0.8 of five-word shingles, all couples; and the number of linked couples of different sets."""
     sets = {}
     for k, t in docs.items():
         w = (t or "").encode().lower().split()
@@ -381,7 +381,7 @@ def test_near_duplicate_stage_equals_brute_force(spark, monkeypatch):
     both = docs.select("doc_id", "text").unionByName(spark.createDataFrame(list(made.items()), "doc_id long, text string"))
     want, links = brute_groups({r.doc_id: r.text for r in both.collect()})
     assert links > 40
-    monkeypatch.setattr(resemblance, "PAIRS", 500)
+    monkeypatch.setattr(resemblance, "COUPLES", 500)
     for common in (4, 10**9):  # the order of shingles changes no group
         monkeypatch.setattr(resemblance, "COMMON", common)
         got = {r.doc_id: r.component_id for r in resemblance.groups(both).collect()}
