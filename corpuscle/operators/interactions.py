@@ -33,7 +33,7 @@ def eligible(rows: DataFrame) -> DataFrame:
 
 
 def other_row(right: DataFrame, half: bool) -> Column:
-    """i is not j; in half mode each local pair stands once, under its smaller uid (pairs with an image stay on each owner)."""
+    """i is not j; in half mode each local pair stands once, under its smaller uid (couples with an image stay on each owner)."""
     same = F.col("uid_i") == F.col("uid_j")
     ghost = F.col("is_ghost_j") if "is_ghost" in right.columns else F.lit(False)
     own = (F.col("uid_i") < F.col("uid_j")) if half else ~same
@@ -51,8 +51,8 @@ def _delta() -> Vec:
     return Vec(*(F.col(f"{a}_i") - F.col(f"{a}_j") for a in POS))
 
 
-def cutoff_pairs(rows: DataFrame, cutoff: float, right: DataFrame | None = None, columns_i: Sequence[str] = (), columns_j: Sequence[str] = (), half: bool = False, salt: int = 1) -> DataFrame:
-    """Point-mass pairs with squared distance < cutoff**2: uid_i, uid_j, the columns asked for, dx, dy, dz, rsq."""
+def cutoff_couples(rows: DataFrame, cutoff: float, right: DataFrame | None = None, columns_i: Sequence[str] = (), columns_j: Sequence[str] = (), half: bool = False, salt: int = 1) -> DataFrame:
+    """Point-mass couples with squared distance < cutoff**2: uid_i, uid_j, the columns asked for, dx, dy, dz, rsq."""
     i, j, right = _sides(rows, right, columns_i, columns_j)
     d = _delta()
     out = range_join(i, j, [f"{a}_i" for a in POS], [f"{a}_j" for a in POS], cutoff, (d.squared_length() < cutoff * cutoff) & other_row(right, half), salt, "uid_j")
@@ -111,7 +111,7 @@ def interactions(rows: DataFrame, cutoff: float | None, shapes: Sequence[int], r
         if shape == POINT_MASS:
             if not cutoff:
                 raise ValueError("point masses need a cutoff")
-            out[shape] = cutoff_pairs(left, cutoff, part, columns_i, columns_j, half)
+            out[shape] = cutoff_couples(left, cutoff, part, columns_i, columns_j, half)
         elif shape == SPHERE:
             if max_radius is None:
                 max_radius = right.where(F.col("shape") == SPHERE).agg(F.max("radius")).first()[0] or 1.0
@@ -123,13 +123,13 @@ def interactions(rows: DataFrame, cutoff: float | None, shapes: Sequence[int], r
     return out
 
 
-def neighbour_counts(pairs: DataFrame, *more: str) -> DataFrame:
-    return pairs.groupBy("uid_i", *more).agg(F.count("*").alias("n"))
+def neighbour_counts(couples: DataFrame, *more: str) -> DataFrame:
+    return couples.groupBy("uid_i", *more).agg(F.count("*").alias("n"))
 
 
-def neighbour_lists(pairs: DataFrame) -> DataFrame:
+def neighbour_lists(couples: DataFrame) -> DataFrame:
     """uid_i and its sorted partners (a row's partners are bounded by what fits in its range)."""
-    return pairs.groupBy("uid_i").agg(F.array_sort(F.collect_list("uid_j")).alias("partners"))
+    return couples.groupBy("uid_i").agg(F.array_sort(F.collect_list("uid_j")).alias("partners"))
 
 
 def cell_candidates(rows: DataFrame, size: float) -> DataFrame:
@@ -141,28 +141,28 @@ def cell_candidates(rows: DataFrame, size: float) -> DataFrame:
     return spread.join(cells, ["cx", "cy", "cz"]).groupBy("cx", "cy", "cz").agg(F.array_sort(F.collect_list("uid")).alias("candidates"))
 
 
-def lookup(pairs: DataFrame, kinds: int, values: Sequence[float], kind_i: str, kind_j: str) -> Column:
+def lookup(couples: DataFrame, kinds: int, values: Sequence[float], kind_i: str, kind_j: str) -> Column:
     """A value by the two kinds, from a literal array (kinds**2 values)."""
     if len(values) != kinds * kinds:
         raise ValueError("a value for each pair of kinds is needed")
     return F.element_at(F.array(*(F.lit(float(v)) for v in values)), (F.col(kind_i) * kinds + F.col(kind_j) + 1).cast("int"))
 
 
-def lookup_join(pairs: DataFrame, table: DataFrame, kind_i: str, kind_j: str, value: str) -> DataFrame:
+def lookup_join(couples: DataFrame, table: DataFrame, kind_i: str, kind_j: str, value: str) -> DataFrame:
     """The same from a table (kind_i, kind_j, value); Spark broadcasts it if it is small."""
     t = table.select(F.col("kind_i").alias(kind_i), F.col("kind_j").alias(kind_j), F.col("value").alias(value))
-    return pairs.join(t, [kind_i, kind_j], "left")
+    return couples.join(t, [kind_i, kind_j], "left")
 
 
-def summed(pairs: DataFrame, sums: dict[str, Column], reaction: bool = False) -> DataFrame:
+def summed(couples: DataFrame, sums: dict[str, Column], reaction: bool = False) -> DataFrame:
     """uid and the sums of expressions over partners; partial sums are made before the shuffle.
 
     With reaction, the negated expression also counts for j, if j is local and not fixed (half mode).
     """
-    rows = pairs.select(F.col("uid_i").alias("uid"), *(e.alias(k) for k, e in sums.items()))
+    rows = couples.select(F.col("uid_i").alias("uid"), *(e.alias(k) for k, e in sums.items()))
     if reaction:
-        hit = pairs.where(has_no(FIXED, "flags_j"))
-        if "is_ghost_j" in pairs.columns:
+        hit = couples.where(has_no(FIXED, "flags_j"))
+        if "is_ghost_j" in couples.columns:
             hit = hit.where(~F.col("is_ghost_j"))
         rows = rows.unionByName(hit.select(F.col("uid_j").alias("uid"), *((-e).alias(k) for k, e in sums.items())))
     return rows.groupBy("uid").agg(*(F.sum(k).alias(k) for k in sums))
@@ -179,7 +179,7 @@ SHIFTS = ("shift_x", "shift_y", "shift_z")
 
 
 def candidates(rows: DataFrame, right: DataFrame, reach: float) -> DataFrame:
-    """(uid_i, uid_j, shift_x..): pairs within reach, to be used for several steps; reach is the range and a skin.
+    """(uid_i, uid_j, shift_x..): couples within reach, to be used for several steps; reach is the range and a skin.
 
     right has the rows and their images, with their shifts; an image is named by its uid and shift.
     """
@@ -191,10 +191,10 @@ def candidates(rows: DataFrame, right: DataFrame, reach: float) -> DataFrame:
     return near.select("uid_i", "uid_j", *SHIFTS)
 
 
-def from_candidates(rows: DataFrame, pairs: DataFrame, cutoff: float, lengths: Sequence[float], columns_i: Sequence[str] = (), columns_j: Sequence[str] = ()) -> DataFrame:
-    """The pairs of :func:`cutoff_pairs` from stored candidates and the rows' present places: two joins by uid, and the exact test."""
+def from_candidates(rows: DataFrame, couples: DataFrame, cutoff: float, lengths: Sequence[float], columns_i: Sequence[str] = (), columns_j: Sequence[str] = ()) -> DataFrame:
+    """The couples of :func:`cutoff_couples` from stored candidates and the rows' present places: two joins by uid, and the exact test."""
     i, j = side(eligible(rows), "i", ["uid", *POS, *columns_i]), side(rows, "j", ["uid", *POS, "flags", *columns_j])
-    out = pairs.join(i, "uid_i").join(j, "uid_j")
+    out = couples.join(i, "uid_i").join(j, "uid_j")
     out = out.withColumns({f"{a}_j": F.col(f"{a}_j") + F.col(s) * F.lit(n) for a, s, n in zip(POS, SHIFTS, lengths, strict=True)})
     out = out.withColumn("is_ghost_j", (F.col("shift_x") != 0) | (F.col("shift_y") != 0) | (F.col("shift_z") != 0))
     d = _delta()

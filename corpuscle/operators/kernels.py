@@ -142,7 +142,7 @@ class Pair:
         return interactions.lookup(self.df, self.schema.features[feature], values, f"{feature}_i", f"{feature}_j")
 
     def skip_when(self, cond: Column) -> None:
-        """Drops pairs; those dropped before the first access to the contact state aren't touched."""
+        """Drops couples; those dropped before the first access to the contact state aren't touched."""
         self.df = self.df.where(~cond)
 
     def let(self, name: str, value: Any):
@@ -214,8 +214,8 @@ def run_pair(df: DataFrame, right: DataFrame, kernel: Callable, schema: Particle
     else:
         joined = interactions.interactions(left, cutoff, shapes, other, [*names, "flags"], names, half, max_radius)
     parts, states = [], []
-    for shape, pairs in joined.items():
-        pair = Pair(pairs, shape, schema, state, half)
+    for shape, couples in joined.items():
+        pair = Pair(couples, shape, schema, state, half)
         kernel(pair, **(symbols or {}))
         if (rows := pair.result()) is not None:
             parts.append(rows)

@@ -243,25 +243,25 @@ def stencil(spark, sf_dir):
 
 
 _RSQ = "((i.x - j.x) * (i.x - j.x) + (i.y - j.y) * (i.y - j.y) + (i.z - j.z) * (i.z - j.z))"
-_PAIRS = f"pairs AS (SELECT i.uid AS uid_i, j.uid AS uid_j, i.type AS type_i, j.type AS type_j, j.flags AS flags_j, j.shape AS shape_j, i.x - j.x AS dx, i.y - j.y AS dy, i.z - j.z AS dz, {_RSQ} AS rsq, i.mass AS mass_i FROM pts i, pts j WHERE i.uid <> j.uid AND i.flags & 4 = 0 AND {_RSQ} < {d(CUTOFF * CUTOFF)})"
+_COUPLES = f"couples AS (SELECT i.uid AS uid_i, j.uid AS uid_j, i.type AS type_i, j.type AS type_j, j.flags AS flags_j, j.shape AS shape_j, i.x - j.x AS dx, i.y - j.y AS dy, i.z - j.z AS dz, {_RSQ} AS rsq, i.mass AS mass_i FROM pts i, pts j WHERE i.uid <> j.uid AND i.flags & 4 = 0 AND {_RSQ} < {d(CUTOFF * CUTOFF)})"
 
 
-def _pairs(spark, sf_dir, **more):
-    return interactions.cutoff_pairs(pts(spark, sf_dir), CUTOFF, columns_i=("type", "mass"), columns_j=("type", "shape"), **more)
+def _couples(spark, sf_dir, **more):
+    return interactions.cutoff_couples(pts(spark, sf_dir), CUTOFF, columns_i=("type", "mass"), columns_j=("type", "shape"), **more)
 
 
-@query(P(f"SELECT uid_i, uid_j, {R('rsq', 'rsq')}, {R('dx', 'dx')} FROM pairs", _PAIRS))
-def pairs_cutoff(spark, sf_dir):
-    return _pairs(spark, sf_dir).select("uid_i", "uid_j", *rows_of(rsq=F.col("rsq"), dx=F.col("dx")))
+@query(P(f"SELECT uid_i, uid_j, {R('rsq', 'rsq')}, {R('dx', 'dx')} FROM couples", _COUPLES))
+def couples_cutoff(spark, sf_dir):
+    return _couples(spark, sf_dir).select("uid_i", "uid_j", *rows_of(rsq=F.col("rsq"), dx=F.col("dx")))
 
 
-@query(P(f"SELECT uid_i, uid_j, {R('rsq', 'rsq')}, {R('dx', 'dx')} FROM pairs WHERE uid_i < uid_j", _PAIRS))
-def pairs_half(spark, sf_dir):
-    return _pairs(spark, sf_dir, half=True, salt=4).select("uid_i", "uid_j", *rows_of(rsq=F.col("rsq"), dx=F.col("dx")))
+@query(P(f"SELECT uid_i, uid_j, {R('rsq', 'rsq')}, {R('dx', 'dx')} FROM couples WHERE uid_i < uid_j", _COUPLES))
+def couples_half(spark, sf_dir):
+    return _couples(spark, sf_dir, half=True, salt=4).select("uid_i", "uid_j", *rows_of(rsq=F.col("rsq"), dx=F.col("dx")))
 
 
 @query(P(f"SELECT i.uid AS uid_i, j.uid AS uid_j, {R('(i.x - j.x) ** 2 + (i.y - j.y) ** 2 + (i.z - j.z) ** 2', 'rsq')} FROM m i, m j WHERE i.uid <> j.uid AND i.flags & 4 = 0 AND (i.x - j.x) ** 2 + (i.y - j.y) ** 2 + (i.z - j.z) ** 2 < {d(CUTOFF * CUTOFF)}", f"m AS (SELECT uid, flags, x + vx * {d(0.05)} AS x, y + vy * {d(0.05)} AS y, z + vz * {d(0.05)} AS z FROM pts)"))
-def verlet_pairs(spark, sf_dir):
+def verlet_couples(spark, sf_dir):
     """Candidates with a skin, stored before the rows moved, used after it."""
     rows = pts(spark, sf_dir)
     stored = interactions.candidates(rows, images.images(rows, BOX, 0.0), CUTOFF + 0.1)
@@ -302,14 +302,14 @@ def halfspace_contacts(spark, sf_dir):
     return interactions.halfspace_contacts(pts(spark, sf_dir), _planes(spark)).select("uid_i", "uid_j", *rows_of(depth=F.col("depth"), point_z=F.col("point_z")))
 
 
-@query(P("SELECT uid_i, CAST(shape_j AS INT) AS shape_j, count(*) AS n FROM pairs GROUP BY ALL", _PAIRS))
+@query(P("SELECT uid_i, CAST(shape_j AS INT) AS shape_j, count(*) AS n FROM couples GROUP BY ALL", _COUPLES))
 def neighbor_counts(spark, sf_dir):
-    return interactions.neighbour_counts(_pairs(spark, sf_dir), "shape_j")
+    return interactions.neighbour_counts(_couples(spark, sf_dir), "shape_j")
 
 
-@query(P("SELECT uid_i, string_agg(CAST(uid_j AS VARCHAR), ',' ORDER BY uid_j) AS partners FROM pairs GROUP BY uid_i", _PAIRS))
+@query(P("SELECT uid_i, string_agg(CAST(uid_j AS VARCHAR), ',' ORDER BY uid_j) AS partners FROM couples GROUP BY uid_i", _COUPLES))
 def neighbor_lists(spark, sf_dir):
-    out = interactions.neighbour_lists(_pairs(spark, sf_dir))
+    out = interactions.neighbour_lists(_couples(spark, sf_dir))
     return out.select("uid_i", F.concat_ws(",", F.transform("partners", lambda u: u.cast("string"))).alias("partners"))
 
 
@@ -339,9 +339,9 @@ def ghost_rows(spark, sf_dir):
 
 
 @query(P(f"SELECT i.uid AS uid_i, j.uid AS uid_j, {R(_RSQ, 'rsq')} FROM pts i, g j WHERE i.flags & 4 = 0 AND NOT (i.uid = j.uid AND j.sx = 0 AND j.sy = 0 AND j.sz = 0) AND {_RSQ} < {d(HALO * HALO)}", _image_sql(HALO)))
-def pairs_pbc(spark, sf_dir):
+def couples_pbc(spark, sf_dir):
     rows = pts(spark, sf_dir)
-    return interactions.cutoff_pairs(rows, HALO, images.images(rows, BOX, HALO)).select("uid_i", "uid_j", r6(F.col("rsq")).alias("rsq"))
+    return interactions.cutoff_couples(rows, HALO, images.images(rows, BOX, HALO)).select("uid_i", "uid_j", r6(F.col("rsq")).alias("rsq"))
 
 
 _FACES = " UNION ALL ".join(f"SELECT {2 * k} AS direction, uid FROM pts WHERE {a} < {d(-0.6 + WIDE)} UNION ALL SELECT {2 * k + 1}, uid FROM pts WHERE {a} > {d(0.6 - WIDE)}" for k, a in enumerate(XYZ))
@@ -393,11 +393,11 @@ def load_stats(spark, sf_dir):
 # forces
 
 
-@query(P(f"SELECT uid_i, uid_j, {R('1 + 0.1::DOUBLE * abs(type_i - type_j)', 'eps')} FROM pairs", _PAIRS))
+@query(P(f"SELECT uid_i, uid_j, {R('1 + 0.1::DOUBLE * abs(type_i - type_j)', 'eps')} FROM couples", _COUPLES))
 def feature_lookup(spark, sf_dir):
-    pairs = _pairs(spark, sf_dir)
+    couples = _couples(spark, sf_dir)
     table = spark.createDataFrame([(a, b, 1 + 0.1 * abs(a - b)) for a in range(10) for b in range(10)], "kind_i int, kind_j int, value double")
-    return interactions.lookup_join(pairs, table, "type_i", "type_j", "eps").select("uid_i", "uid_j", r6(F.col("eps")).alias("eps"))
+    return interactions.lookup_join(couples, table, "type_i", "type_j", "eps").select("uid_i", "uid_j", r6(F.col("eps")).alias("eps"))
 
 
 _S6 = f"({d(SIGMA6)} / (rsq * rsq * rsq))"
@@ -405,7 +405,7 @@ _LJ = f"(48.0::DOUBLE * {_S6} * ({_S6} - 0.5::DOUBLE) / rsq * (1 + 0.1::DOUBLE *
 
 
 def _lj_sql(cond: str = "true") -> str:
-    return P("SELECT p.uid, " + ", ".join(R(f"coalesce(s.f{a}, 0)", f"force_{a}") for a in XYZ) + f" FROM pts p LEFT JOIN (SELECT uid_i, sum({_LJ} * dx) AS fx, sum({_LJ} * dy) AS fy, sum({_LJ} * dz) AS fz FROM pairs WHERE {cond} GROUP BY uid_i) s ON p.uid = s.uid_i", _PAIRS)
+    return P("SELECT p.uid, " + ", ".join(R(f"coalesce(s.f{a}, 0)", f"force_{a}") for a in XYZ) + f" FROM pts p LEFT JOIN (SELECT uid_i, sum({_LJ} * dx) AS fx, sum({_LJ} * dy) AS fy, sum({_LJ} * dz) AS fz FROM couples WHERE {cond} GROUP BY uid_i) s ON p.uid = s.uid_i", _COUPLES)
 
 
 def _melt(spark, sf_dir) -> tuple[ParticleSchema, DataFrame]:
@@ -435,7 +435,7 @@ def lj_force_half(spark, sf_dir):
     return _forces(run_pair(once, fixed, physics.lennard_jones, s, [2], CUTOFF)[0])
 
 
-@query(P("SELECT p.uid, " + R("coalesce(s.a, 0)", "force_x") + ", " + R("coalesce(s.b, 0)", "force_y") + " FROM pts p LEFT JOIN (SELECT uid_i, sum(dx * 3) AS a, sum(dy * 2 + dx) AS b FROM pairs GROUP BY uid_i) s ON p.uid = s.uid_i", _PAIRS))
+@query(P("SELECT p.uid, " + R("coalesce(s.a, 0)", "force_x") + ", " + R("coalesce(s.b, 0)", "force_y") + " FROM pts p LEFT JOIN (SELECT uid_i, sum(dx * 3) AS a, sum(dy * 2 + dx) AS b FROM couples GROUP BY uid_i) s ON p.uid = s.uid_i", _COUPLES))
 def multi_apply(spark, sf_dir):
     s, rows = _melt(spark, sf_dir)
 
@@ -509,7 +509,7 @@ def csv_particles(spark, sf_dir):
 
 @query("SELECT CAST(a.i AS INT) AS kind_i, CAST(b.i AS INT) AS kind_j, round(a.i + 0.5::DOUBLE * b.i, 6) + 0.0::DOUBLE AS value FROM range(10) a(i), range(10) b(i)")
 def csv_lookup(spark, sf_dir):
-    """A table by pairs of kinds, from CSV."""
+    """A table by couples of kinds, from CSV."""
     path = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
     k = F.col("id")
     spark.range(100).select(F.floor(k / 10), k % 10, F.floor(k / 10) + 0.5 * (k % 10)).write.csv(path)
@@ -552,9 +552,9 @@ def _at_sql(name: str, t: float) -> str:
 _DEFAULTS = {"seen": 0, "first_depth": 0.0}
 
 
-def _seen(pairs: DataFrame, state: DataFrame) -> DataFrame:
+def _seen(couples: DataFrame, state: DataFrame) -> DataFrame:
     update = {"first_depth": F.when(F.col("seen") == 0, F.col("depth")).otherwise(F.col("first_depth"))}
-    touched = contacts.touch(pairs, state, _DEFAULTS).withColumns(update)
+    touched = contacts.touch(couples, state, _DEFAULTS).withColumns(update)
     return contacts.pruned(touched.withColumn("seen", F.col("seen") + 1), list(_DEFAULTS))
 
 
@@ -697,9 +697,9 @@ def trajectory_3(spark, sf_dir):
 def event_state_by_day(spark, sf_dir):
     """State kept from one day to the next only: what a day doesn't touch is gone."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.sum("value").alias("total"), F.count("*").alias("n"))
-    pairs = e.select(F.col("user_id").alias("uid_i"), F.datediff("day", F.lit("1970-01-01").cast("date")).cast("long").alias("uid_j"), "day", "n", "total")
-    state = pairs.select("uid_i", (F.col("uid_j") + 1).alias("uid_j"), F.col("total").alias("before"))
-    out = contacts.touch(pairs, state, {"before": 0.0})
+    couples = e.select(F.col("user_id").alias("uid_i"), F.datediff("day", F.lit("1970-01-01").cast("date")).cast("long").alias("uid_j"), "day", "n", "total")
+    state = couples.select("uid_i", (F.col("uid_j") + 1).alias("uid_j"), F.col("total").alias("before"))
+    out = contacts.touch(couples, state, {"before": 0.0})
     return out.select(F.col("uid_i").alias("user_id"), F.col("day").cast("string").alias("day"), "n", *rows_of(total=F.col("total")), "is_new", *rows_of(before=F.col("before")))
 
 

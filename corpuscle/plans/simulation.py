@@ -216,7 +216,7 @@ class Simulation:
                 if radius:
                     halo = max(halo, 2 * radius)
                 if self.listed and self.shapes == [POINT_MASS] and self.period > 1 and s.cutoff and s.cutoff <= self.halo:
-                    rows = cut(rows)  # it is read for the candidates and for the pairs
+                    rows = cut(rows)  # it is read for the candidates and for the couples
                     rows, touched = run_pair(rows, rows, s.kernel, self.schema, self.shapes, s.cutoff, s.symbols, state, self.half, None, self._stored(rows, s.cutoff, step), self.domain.lengths)
                 else:
                     rows, touched = run_pair(rows, self._with_images(rows, halo), s.kernel, self.schema, self.shapes, s.cutoff, s.symbols, state, self.half, radius)

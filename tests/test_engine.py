@@ -35,19 +35,19 @@ def test_lattice_golden(lattice):
 @pytest.mark.parametrize(("cutoff", "each"), [(2.5, 54), (2.8, 78)])
 def test_periodic_neighbours(lattice, cutoff, each):
     rows, box = lattice
-    pairs = interactions.cutoff_pairs(rows, cutoff, images.images(rows, box, 2.8))
-    assert {r.n for r in interactions.neighbour_counts(pairs).collect()} == {each}
+    couples = interactions.cutoff_couples(rows, cutoff, images.images(rows, box, 2.8))
+    assert {r.n for r in interactions.neighbour_counts(couples).collect()} == {each}
     assert images.images(rows, box, 2.8).count() == 1687
 
 
 def test_bins_equal_theta(spark):
     rows = catalog.pts(spark, SF)
     theta = rows.alias("i").crossJoin(rows.alias("j")).where("i.uid <> j.uid and (i.flags & 4) = 0 and pow(i.x-j.x,2)+pow(i.y-j.y,2)+pow(i.z-j.z,2) < 0.01")
-    binned = interactions.cutoff_pairs(rows, 0.1)
+    binned = interactions.cutoff_couples(rows, 0.1)
     plan = binned._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
     assert binned.count() == theta.count()
-    assert interactions.cutoff_pairs(rows, 0.1, salt=3).count() == binned.count()
+    assert interactions.cutoff_couples(rows, 0.1, salt=3).count() == binned.count()
 
 
 @pytest.mark.parametrize("step", [0.25, 0.1])
@@ -62,7 +62,7 @@ def test_range_join_at_the_faces_of_cells(spark, step):
         d = p[:, None] - p
         want = (d * d).sum(axis=2) < size * size
         np.fill_diagonal(want, False)
-        got = interactions.cutoff_pairs(rows, size).select("uid_i", "uid_j").collect()
+        got = interactions.cutoff_couples(rows, size).select("uid_i", "uid_j").collect()
         assert sorted(map(tuple, got)) == sorted(map(tuple, np.argwhere(want).tolist()))
 
 
