@@ -29,8 +29,6 @@ TEMPER = 1 / 3
 #: A further language must raise the log-likelihood by PENALTY * ln(words + 1).
 PENALTY = 2.0
 SLICE = 1_500_000
-#: The most languages of a model; its table goes to every executor (256 kB each).
-MAX_LANGUAGES = 400
 
 _CLASS = np.zeros(256, np.uint32)
 _CLASS[ord("a") : ord("z") + 1] = np.arange(1, 27)
@@ -155,14 +153,19 @@ def held_out(doc_id: str = "doc_id", parts: int = 4, part: int = 2):
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model of docs (doc_id, text, lang): about sample documents of each language, chosen by hash of the id, are counted on the executors."""
-    labelled = docs.where("lang is not null and text is not null")
-    sizes = {r.lang: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
+    """A model of docs (doc_id, text, lang): about sample documents of each language, chosen by hash of the id, are counted on the executors.
+
+    All languages are learned; the model grows with their number (256 kB each goes to every executor), not with the
+    rows. Rows without language or text teach nothing, repeated ones count as often as they occur, null ids as one id.
+    Without a labelled row the model has no language, and every text is und. Other columns are ignored.
+    """
+    labelled = docs.select("doc_id", "text", "lang").where("lang is not null and text is not null")
+    sizes = {r.lang: r["count"] for r in labelled.groupBy("lang").count().collect()}  # a row for each language
     if not sizes:
         return Model([], np.zeros((0, BUCKETS), np.float32))
-    share = F.create_map(*(F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, sample / n))))
+    table = docs.sparkSession.createDataFrame([(lang, min(1.0, sample / n)) for lang, n in sizes.items()], "_lang string, _share double")
     unit = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) / float(1 << 20)
-    some = labelled.where(F.col("lang").isin(list(sizes)) & (unit < share[F.col("lang")])).select("lang", "text")
+    some = labelled.join(F.broadcast(table), F.col("lang") == F.col("_lang")).where(unit < F.col("_share")).select("lang", "text")
 
     @tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

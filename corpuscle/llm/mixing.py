@@ -9,7 +9,6 @@ a seeded order, up to the flow.
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -19,8 +18,8 @@ from corpuscle.llm.shared import written
 
 REPEATS = 3
 WORD = r"[^\x20\x09-\x0D]+"
-#: Patterns that the driver solves the flow for; more raise an error rather than being dropped.
-MAX_PATTERNS = 50_000
+#: Distinct sets of sources that the driver solves the flow for (a row each); more raise an error rather than being dropped.
+MAX_PATTERNS = 250_000
 
 
 def word_count(text: str = "text") -> Column:
@@ -47,64 +46,93 @@ def quotas(sizes: Sequence[int], weights: Sequence[int], total: int, repeats: in
 def min_cost_flow(supply: Sequence[int], members: Sequence[Sequence[int]], demand: Sequence[int], repeats: int = REPEATS) -> list[dict[int, int]]:
     """Tokens that each pattern sends to each of its sources: the largest flow, at the least cost of repetition.
 
-    Successive shortest paths with potentials: root -> pattern (one arc per
-    repetition, costing 0, 1, 2 ...) -> source -> sink.
+    A path from the root costs what its first arc costs (the copy that the pattern offers), as all other arcs are free
+    both ways. So successive cheapest paths are those of the first copies, then of the second ones, and so on, and each
+    of these layers is a largest flow, found in blocking flows over shortest paths. A pattern that can't reach the
+    sink in one layer can't in a later one either, so that only patterns used up offer their next copy.
     """
-    p, s = len(supply), len(demand)
-    root, sink = p + s, p + s + 1
-    graph: list[list[int]] = [[] for _ in range(p + s + 2)]
-    to: list[int] = []
-    room: list[int] = []
-    cost: list[int] = []
-
-    def arc(a: int, b: int, c: int, price: int) -> int:
-        graph[a].append(len(to))
-        to.append(b), room.append(c), cost.append(price)
-        graph[b].append(len(to))
-        to.append(a), room.append(0), cost.append(-price)
-        return len(to) - 2
-
-    arcs: list[dict[int, int]] = []
-    for i, n in enumerate(supply):
-        for k in range(repeats):
-            arc(root, i, n, k)
-        arcs.append({j: arc(i, p + j, n * repeats, 0) for j in members[i]})
-    for j, n in enumerate(demand):
-        arc(p + j, sink, n, 0)
-    height = [0] * len(graph)
+    sent: list[dict[int, int]] = [dict.fromkeys(m, 0) for m in members]
+    users: list[list[int]] = [[] for _ in demand]
+    for i, m in enumerate(members):
+        for j in m:
+            users[j].append(i)
+    room = [int(d) for d in demand]
+    for _ in range(repeats):
+        left = list(supply)
+        while True:
+            # distance from the sink: odd for sources, even for patterns (whose flow a source can send back)
+            far_s = [1 if r > 0 else 0 for r in room]
+            far_p = [0] * len(supply)
+            edge = [j for j, r in enumerate(room) if r > 0]
+            reached = False
+            while edge and not reached:
+                found = []
+                for j in edge:
+                    for i in users[j]:
+                        if not far_p[i]:
+                            far_p[i] = far_s[j] + 1
+                            found.append(i)
+                reached = any(left[i] for i in found)
+                edge = []
+                for i in found:
+                    for j, n in sent[i].items():
+                        if n and not far_s[j]:
+                            far_s[j] = far_p[i] + 1
+                            edge.append(j)
+            if not reached:
+                break
+            at_p, at_s = [0] * len(supply), [0] * len(demand)
+            for start in [i for i, n in enumerate(left) if n and far_p[i]]:
+                while left[start] and (path := _path(start, members, users, sent, room, far_p, far_s, at_p, at_s)):
+                    amount = min(left[start], room[path[-1]], *(sent[path[k + 1]][path[k]] for k in range(1, len(path) - 1, 2)))
+                    for k in range(0, len(path) - 1, 2):
+                        sent[path[k]][path[k + 1]] += amount
+                        if k:
+                            sent[path[k]][path[k - 1]] -= amount
+                    room[path[-1]] -= amount
+                    left[start] -= amount
+    return [{j: n for j, n in x.items() if n} for x in sent]
+
+
+def _path(start: int, members: Sequence[Sequence[int]], users: list[list[int]], sent: list[dict[int, int]], room: list[int], far_p: list[int], far_s: list[int], at_p: list[int], at_s: list[int]) -> list[int] | None:
+    """The next path pattern, source, pattern, ... that falls by one at each step; at_p and at_s are how far arcs were tried."""
+    path = [start]
     while True:
-        far: list[int | None] = [None] * len(graph)
-        by = [-1] * len(graph)
-        far[root] = 0
-        heap = [(0, root)]
-        while heap:
-            d, a = heapq.heappop(heap)
-            if d > far[a]:
+        here = path[-1]
+        if len(path) % 2:  # at a pattern
+            while at_p[here] < len(members[here]):
+                j = members[here][at_p[here]]
+                if far_s[j] and far_s[j] == far_p[here] - 1:
+                    break
+                at_p[here] += 1
+            else:
+                path.pop()
+                if not path:
+                    return None
+                at_s[path[-1]] += 1
                 continue
-            for e in graph[a]:
-                if room[e] > 0:
-                    b, nd = to[e], d + cost[e] + height[a] - height[to[e]]
-                    if far[b] is None or nd < far[b]:
-                        far[b], by[b] = nd, e
-                        heapq.heappush(heap, (nd, b))
-        if far[sink] is None:
-            break
-        high = max(d for d in far if d is not None)
-        height = [h + (high if d is None else d) for h, d in zip(height, far, strict=True)]
-        amount, b = None, sink
-        while b != root:
-            amount = room[by[b]] if amount is None else min(amount, room[by[b]])
-            b = to[by[b] ^ 1]
-        b = sink
-        while b != root:
-            room[by[b]] -= amount
-            room[by[b] ^ 1] += amount
-            b = to[by[b] ^ 1]
-    return [{j: room[e ^ 1] for j, e in x.items() if room[e ^ 1]} for x in arcs]
-
-
-def mix(docs: DataFrame, sources: str = "sources", weights: Sequence[int] = (5, 2, 1), repeats: int = REPEATS, seed: int = 42) -> DataFrame:
-    """doc_id, sources, size, source_size, target, taken of every row of docs.
+            path.append(j)
+        else:  # at a source
+            if far_s[here] == 1:
+                if room[here] > 0:
+                    return path
+            else:
+                while at_s[here] < len(users[here]):
+                    i = users[here][at_s[here]]
+                    if far_p[i] and far_p[i] == far_s[here] - 1 and sent[i].get(here, 0) > 0:
+                        break
+                    at_s[here] += 1
+                else:
+                    i = -1
+                if i >= 0 and at_s[here] < len(users[here]):
+                    path.append(i)
+                    continue
+            path.pop()
+            at_p[path[-1]] += 1
+
+
+def mix(docs: DataFrame, sources: str = "sources", weights: Sequence[int] = (5, 2, 1), repeats: int = REPEATS, seed: int = 42, carry: Sequence[str] = ()) -> DataFrame:
+    """The columns carry of docs, and doc_id, sources, size, source_size, target, taken of every row of docs.
 
     docs: doc_id, size (tokens; null or negative: 0) and an array of the
     sources that the document belongs to. A null array or an empty one is the
@@ -113,11 +141,11 @@ def mix(docs: DataFrame, sources: str = "sources", weights: Sequence[int] = (5,
     sums over the document's sources. taken is a multiple of size, at most
     repeats times it. Equal seeds give equal results; the order is that of
     md5(doc_id:seed), then of size (rows that agree in both are alike). Without
-    any token all targets are 0.
+    any token all targets are 0. Repeated rows and null ids count like any other; other columns than carry are dropped.
     """
     spark = docs.sparkSession
     of = F.array_sort(F.array_distinct(F.when(F.coalesce(F.size(sources), F.lit(0)) > 0, F.col(sources)).otherwise(F.array(F.lit(None).cast("string")))))
-    sized = docs.select("doc_id", F.greatest(F.coalesce(F.col("size"), F.lit(0)), F.lit(0)).cast("long").alias("size"), of.alias("sources"))
+    sized = docs.select(*carry, "doc_id", F.greatest(F.coalesce(F.col("size"), F.lit(0)), F.lit(0)).cast("long").alias("size"), of.alias("sources"))
     sized = written(sized.withColumn("pattern", F.to_json("sources")), "sizes")
     # a wholly null array of one is written as [null] by to_json, a source "null" as ["null"]
     patterns = sized.groupBy("pattern", "sources").agg(F.sum("size").alias("n")).limit(MAX_PATTERNS + 1).collect()
@@ -153,7 +181,7 @@ def mix(docs: DataFrame, sources: str = "sources", weights: Sequence[int] = (5,
     cut = rows.where(inside).withColumn("before", F.col("before") + F.coalesce(F.sum("size").over(order), F.lit(0)))
     cut = cut.withColumn("more", (2 * F.col("before") + F.col("size") <= 2 * F.col("rest")).cast("long"))
     sure = rows.where(~inside).withColumn("more", F.coalesce(F.col("bucket") <= F.col("full"), F.lit(False)).cast("long"))
-    return sure.unionByName(cut).select("doc_id", "sources", "size", "source_size", "target", (F.col("size") * (F.col("whole") + F.col("more"))).alias("taken"))
+    return sure.unionByName(cut).select(*carry, "doc_id", "sources", "size", "source_size", "target", (F.col("size") * (F.col("whole") + F.col("more"))).alias("taken"))
 
 
 #: The SQL of op8: documents have one source each, so that a pattern's flow is its source's target.

@@ -18,16 +18,21 @@ _scratch: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or the one that setCheckpointDir was given (tests).
+
+    Only in local mode, where driver and executors are one process, a temporary folder is made; on a cluster executors couldn't see it, and an error is raised.
+    """
     sc = spark.sparkContext
     configured = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
     current = sc._jsc.sc().getCheckpointDir()
-    if current.isEmpty():
+    if not current.isEmpty():
+        return current.get()
+    if sc.master.startswith("local") and not sc.master.startswith("local-cluster"):  # one process: the driver's folder is the executors' too
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="corpuscle-checkpoint-"))
-        current = sc._jsc.sc().getCheckpointDir()
-    return current.get()
+        return sc._jsc.sc().getCheckpointDir().get()
+    raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -60,6 +65,38 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(table: DataFrame) -> None:
+    """Deletes a table of :func:`written` whose successor is written."""
+    for path in {f.rsplit("/", 1)[0] for f in table.inputFiles()[:1]}:
+        _delete(table.sparkSession, path)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for internal columns that df doesn't have."""
+    have, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        name = f"_{n}"
+        while name.lower() in have:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
+def one_of_each(docs: DataFrame, named: DataFrame) -> DataFrame:
+    """The rows of docs with one row of each group, all columns as they are.
+
+    named has doc_id, digest (xxhash64 of the text) and root (the group) of every row of docs. The row with the
+    smallest doc_id stays, of these that with the smallest digest; a null id comes after all others. Unlike texts of one id
+    are different documents, which stay if they are of different groups; of rows that agree in id and text one stays.
+    """
+    key, digest = fresh(docs, "key", "digest")
+    name = lambda i, d: F.concat_ws(":", F.coalesce(i.cast("string"), F.lit("null")), d.cast("string"))
+    first = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("r"))
+    keep = first.select(name(F.col("r.doc_id"), F.col("r.digest")).alias(key))
+    rows = docs.withColumn(digest, F.xxhash64("text")).withColumn(key, name(F.col("doc_id"), F.col(digest)))
+    return rows.join(keep, key, "left_semi").dropDuplicates([key]).select(*docs.columns)
+
+
 def lowest(rows: DataFrame, n: int, total: int, *keys: str) -> DataFrame:
     """The n rows of the lowest hash of keys; total is the number of rows.
 
@@ -131,7 +168,8 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = large.where("u > v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = written(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        last, e = e, written(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        dropped(last)
         now = mark(e)
         if now == seen:
             break

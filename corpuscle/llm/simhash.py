@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuscle.llm.shared import column, connected, tidy, written
+from corpuscle.llm.shared import column, connected, one_of_each, tidy, written
 
 SEED, SHINGLE, PREFIX, FANOUT = 42, 3, 16, 8
 #: Ranges of Gray rank (there are fewer when they would hold under LEAST_ROWS fingerprints, and more when they
@@ -51,15 +51,15 @@ def fingerprint(text: str | None, size: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp) of every row; fp is the fingerprint as a signed long. A null text counts as empty."""
+    """(doc_id, digest, fp) of every row; fp is the fingerprint as a signed long, digest a hash of the text. A null text counts as empty."""
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = [fingerprint(t.as_py(), size) for t in column(batch, "text")]
-            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "digest"), pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "digest", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select("doc_id", F.xxhash64("text").alias("digest"), "text").mapInArrow(run, "doc_id long, digest long, fp long")
 
 
 def gray_rank(bits: np.ndarray) -> np.ndarray:
@@ -205,17 +205,20 @@ def groups(docs: DataFrame, limit: int = 2, size: int = SHINGLE) -> DataFrame:
     any other. Repeated rows stay; a null doc_id is never a component_id unless
     the whole component has none.
     """
+    return _named(docs, limit, size).select("doc_id", "fp", "component_id")
+
+
+def _named(docs: DataFrame, limit: int, size: int) -> DataFrame:
+    """(doc_id, digest, fp, root, component_id) of every row; root names its group, digest its text."""
     prints = written(fingerprints(docs, size), "fingerprints")
     distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct")
     roots = connected(near_edges(distinct, limit))
     linked = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     lows = linked.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = linked.join(lows, "root").select("fp", "component_id")
-    return prints.join(named, "fp", "left").select("doc_id", "fp", "component_id")
+    named = linked.join(lows, "root").select("fp", "root", "component_id")
+    return prints.join(named, "fp", "left").select("doc_id", "digest", "fp", "root", "component_id")
 
 
 def deduplicated(docs: DataFrame, limit: int = 2, size: int = SHINGLE) -> DataFrame:
-    """The rows of docs with one document of each group: that with the smallest doc_id (the group's rows without any id stay)."""
-    keep = groups(docs, limit, size).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null"))
+    """The rows of docs with one document of each group: :func:`corpuscle.llm.shared.one_of_each`."""
+    return one_of_each(docs, _named(docs, limit, size))
