@@ -25,92 +25,206 @@ from corpuscle.llm.shared import column
 
 FEATURES = 1 << 13
 #: Labelled pages that are made to learn from.
-PAGES = 600
-
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|svg|noscript|iframe|object|textarea)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[/!?]?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|<[/!?]?[a-zA-Z][^>]*>|<[!?][^>]*>", re.S | re.I)
-_NAME = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+PAGES = 800
+
+#: A tag from its name on; quoted values may hold anything. It never goes back over what it has read.
+_TAG = re.compile(r"""(?>[^>"']+|"[^"]*"|'[^']*')*+>""")
+#: Tags of a page whose quotes are left open, each read to the page's end; after that many, quotes don't count any more.
+OPEN_QUOTES = 16
+#: Elements nested deeper count as siblings of the last level (browsers do so as well).
+DEPTH = 256
+_NAME = re.compile(r"[a-zA-Z][a-zA-Z0-9:-]*")
+_RAW = {k: re.compile(rf"</{k}\b", re.I) for k in ("script", "style")}
 _MARKS = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _WORDS = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
-BLOCK_TAGS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html label legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split())
+_LONG = re.compile(r"&#0*([0-9]{9})[0-9]*")
+BLOCK_TAGS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html iframe label legend li main menu nav noscript object ol option p pre section select summary svg table tbody td template textarea tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Tags that a block tag of the same kind ends, where none of the walls lies between.
 _ENDS = {"p": BLOCK_TAGS, "li": frozenset({"li"}), "dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"}), "tr": frozenset({"tr"}), "td": frozenset({"td", "th", "tr"}), "th": frozenset({"td", "th", "tr"}), "option": frozenset({"option"})}
 _WALLS = frozenset("article aside body div footer form header main nav section table ul ol".split())
 
 
+class Place:
+    """A chain of block-level ancestors (each a tag, or a tag and its marks), with the features that its steps have together."""
+
+    __slots__ = ("below", "grams", "own", "parent", "step")
+
+    def __init__(self, parent: Place | None, step: str) -> None:
+        self.parent, self.step, self.below = parent, step, {}
+        tag, _, marks = step.partition(" ")
+        found = set(parent.grams) if parent else set()
+        if step and tag not in _PLAIN:
+            found |= {_hash(f"in:{tag}")} if marks else {_hash(f"in:{tag}"), _hash(f"bare:{tag}")}
+        found |= {_hash(f"mark:{w}") for w in _WORDS.findall(marks)}
+        self.grams = parent.grams if parent and len(found) == len(parent.grams) else frozenset(found)
+        self.own = _hash(f"own:{tag or 'none'}")
+
+    def features(self) -> tuple[int, ...]:
+        return (self.own, *(x for x in self.grams if x != self.own))
+
+
+class Places:
+    """The chains met so far, as a tree; it starts anew when it has grown large."""
+
+    def __init__(self, most: int = 20_000) -> None:
+        self.most, self.n, self.root = most, 0, Place(None, "")
+
+    def under(self, parent: Place, step: str) -> Place:
+        found = parent.below.get(step)
+        if found is None:
+            found = Place(parent, step)
+            if self.n < self.most:
+                parent.below[step] = found
+                self.n += 1
+        return found
+
+    def fit(self) -> None:
+        if self.n >= self.most:
+            self.n, self.root = 0, Place(None, "")
+
+
 @dataclass
 class Block:
     text: str
-    path: tuple[str, ...]  # ancestors: tag, or tag and its marks
+    place: Place
     linked: int = 0  # characters inside links
     label: int | None = None
 
 
-def blocks(page: str) -> list[Block]:
-    """The leaf blocks of a page, in its order; scripts, styles, comments and the like have none."""
+def unescape(raw: str) -> str:
+    """Character references decoded; numbers of any length are none of a character beyond nine digits."""
+    return entities.unescape(_LONG.sub(r"&#\1", raw)) if "&" in raw else raw
+
+
+def tokens(page: str) -> Iterator[tuple[str, str]]:
+    """(text, '') and ('', tag without its angle brackets) in order, in one pass.
+
+    Comments, declarations, and what scripts and styles hold are left out, up to the page's end where they aren't closed. A
+    tag that isn't closed reaches to the page's end as well. Each search that finds nothing is made once.
+    """
+    at, n, quotes = 0, len(page), 0
+    while at < n:
+        lt = page.find("<", at)
+        if lt < 0:
+            yield page[at:], ""
+            return
+        c = page[lt + 1 : lt + 2]
+        if not (c in "!/?" and c or c.isalpha() and c.isascii()) or c == "/" and not (page[lt + 2 : lt + 3].isalpha() and page[lt + 2 : lt + 3].isascii()):
+            yield page[at : lt + 1], ""
+            at = lt + 1
+            continue
+        if lt > at:
+            yield page[at:lt], ""
+        if page.startswith("<!--", lt):
+            end = page.find("-->", lt + 4)
+            if end < 0:
+                return
+            at = end + 3
+            continue
+        end = -1
+        if c not in "!?/" and quotes < OPEN_QUOTES:
+            if m := _TAG.match(page, lt + 1):
+                end = m.end()
+            else:
+                quotes += 1
+        if end < 0:
+            end = page.find(">", lt + 1) + 1
+            if not end:
+                return
+        at = end
+        if c not in "!?":
+            tag = page[lt + 1 : end - 1]
+            yield "", tag
+            name = _NAME.match(tag)
+            raw = _RAW.get(name[0].lower()) if name and not tag.endswith("/") else None
+            if raw:
+                m = raw.search(page, at)
+                if not m:
+                    return
+                at = m.start()
+
+
+def blocks(page: str, places: Places | None = None) -> list[Block]:
+    """The leaf blocks of a page, in its order; scripts, styles and comments have none."""
+    places = places or Places()
+    places.fit()
     out: list[Block] = []
-    stack: list[tuple[str, str]] = []
+    stack: list[tuple[str, Place]] = []  # open elements, and the place inside them
+    where: dict[str, list[int]] = {}  # places on the stack, by kind
+    walls: list[int] = []
+    edges: list[int] = []  # walls, and what a block tag may end
+    over: dict[str, int] = {}  # elements below DEPTH, by kind
     text: list[str] = []
     linked = depth = 0
-    path: tuple[str, ...] = ()
+    place = places.root
 
     def flush() -> None:
         nonlocal linked
         if text:
             whole = _SPACE.sub(" ", "".join(text)).strip()
             if whole:
-                out.append(Block(whole, path, linked))
+                out.append(Block(whole, place, linked))
             text.clear()
         linked = 0
 
-    at = 0
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            raw = page[at : m.start()]
-            if "&" in raw:
-                raw = entities.unescape(raw)
+    def close(i: int) -> None:
+        nonlocal depth, place
+        for kind, _ in stack[i:]:
+            where[kind].pop()
+            depth -= kind == "a"
+        del stack[i:]
+        for marks in (walls, edges):
+            while marks and marks[-1] >= i:
+                marks.pop()
+        place = stack[-1][1] if stack else places.root
+
+    for raw, tag in tokens(page):
+        if not tag:
+            raw = unescape(raw)
             text.append(raw)
             if depth:
                 linked += len(raw)
-        at = m.end()
-        tag = m[0]
-        name = _NAME.match(tag)
-        if m[1] or not name:
-            continue
-        kind = name[2].lower()
-        if kind == "br":
-            text.append(" ")
             continue
-        if name[1]:
+        if tag[0] == "/":
+            kind = _NAME.match(tag, 1)[0].lower()
             if kind in BLOCK_TAGS:
                 flush()
-            places = [i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == kind]
-            if places and (kind in _WALLS or not any(stack[i][0] in _WALLS for i in range(places[0] + 1, len(stack)))):
-                del stack[places[0] :]
-                path = tuple(x[1] for x in stack if x[0] in BLOCK_TAGS)
-            depth = sum(x[0] == "a" for x in stack)
+            if over.get(kind):
+                over[kind] -= 1
+                continue
+            if (found := where.get(kind)) and (kind in _WALLS or not walls or walls[-1] < found[-1]):
+                close(found[-1])
             continue
-        if kind in BLOCK_TAGS:
+        kind = _NAME.match(tag)[0].lower()
+        if kind == "br":
+            text.append(" ")
+            continue
+        block = kind in BLOCK_TAGS
+        if block:
             flush()
-            for i in range(len(stack) - 1, -1, -1):
+            for i in reversed(edges):  # few, as each kind ends its like
                 if kind in _ENDS.get(stack[i][0], ()):
-                    del stack[i:]
+                    close(i)
                     break
                 if stack[i][0] in _WALLS:
                     break
-        if kind in VOID or tag.endswith("/>"):
-            path = tuple(x[1] for x in stack if x[0] in BLOCK_TAGS)
+        if kind in VOID or tag.endswith("/"):
+            continue
+        if len(stack) >= DEPTH:
+            over[kind] = over.get(kind, 0) + 1
             continue
-        marks = " ".join(filter(None, (x for y in _MARKS.findall(tag) for x in y))) if kind in BLOCK_TAGS and "=" in tag else ""
-        stack.append((kind, f"{kind} {marks.lower()}" if marks else kind))
-        if kind in BLOCK_TAGS:
-            path = tuple(x[1] for x in stack if x[0] in BLOCK_TAGS)
+        if block:
+            marks = " ".join(filter(None, (x for y in _MARKS.findall(tag) for x in y))) if "=" in tag else ""
+            place = places.under(place, f"{kind} {marks.lower()}" if marks else kind)
+        if kind in _WALLS:
+            walls.append(len(stack))
+        if kind in _WALLS or kind in _ENDS:
+            edges.append(len(stack))
+        where.setdefault(kind, []).append(len(stack))
+        stack.append((kind, place))
         depth += kind == "a"
-    if at < len(page):
-        text.append(entities.unescape(page[at:]))
-        if depth:
-            linked += len(page) - at
     flush()
     return out
 
@@ -122,19 +236,6 @@ def _hash(name: str) -> int:
 _PLAIN = frozenset(("html", "body"))
 
 
-@lru_cache(maxsize=20_000)
-def path_features(path: tuple[str, ...]) -> tuple[int, ...]:
-    """Tags of all ancestors, words of their classes and ids, and the block's own tag."""
-    found = {f"own:{path[-1].split(' ', 1)[0]}" if path else "own:none"}
-    for step in path:
-        tag, _, marks = step.partition(" ")
-        if tag not in _PLAIN:
-            found |= {f"in:{tag}"} if marks else {f"in:{tag}", f"bare:{tag}"}
-        for w in _WORDS.findall(marks):
-            found.add(f"mark:{w}")
-    return tuple(sorted({_hash(x) for x in found}))
-
-
 @lru_cache(maxsize=5_000)
 def text_features(size: int, link: int, stops: bool, sign: bool, first: bool) -> tuple[int, ...]:
     return tuple(_hash(x) for x in (f"size:{size}", f"link:{link}", f"stops:{stops}", f"size:{size}:link:{link}", f"sign:{sign}", f"first:{first}"))
@@ -145,7 +246,7 @@ def features(b: Block, first: bool) -> tuple[int, ...]:
     size = min(8, len(t).bit_length())
     stops = t.find(". ") >= 0 or t.endswith((".", "!", "?"))
     sign = "©" in t or "®" in t
-    return path_features(b.path) + text_features(size, min(4, 4 * b.linked // max(1, len(t))), stops, sign, first)
+    return b.place.features() + text_features(size, min(4, 4 * b.linked // max(1, len(t))), stops, sign, first)
 
 
 def sequence(found: Sequence[Block]) -> list[tuple[int, ...]]:
@@ -292,10 +393,12 @@ def labelled_pages(n: int = PAGES, seed: int = 7) -> list[list[Block]]:
 
     def paragraph() -> str:
         text = choice(f"{M}{prose()}", f"{M}{prose()}", f"{M}{prose()}", f"{M}{prose(4)} <a href=/l>{words(1, 5)}</a> {prose(4)}", f"<b>{M}{sentence()}</b> {prose()}", f"<b>{M}{prose()}<br>", f"{M}{sentence(1, 5)}", f"{M}{words(1, 12)}", f"<a href=/l>{M}{sentence(2, 6)}</a>", f"{M}{prose()} &amp; {sentence()}")
-        return choice(f"<p>{text}</p>", f"<p>{text}</p>", f"<p>{text}</p>", f"<p>{text}", f"<div>{text}</div>", f"<blockquote>{text}</blockquote>", f"<blockquote><p>{text}</p></blockquote>", f"<h2>{M}{words(1, 7)}</h2><p>{text}</p>", f"<h3>{M}{words(1, 7)}</h3><p>{text}</p>", f"<ul><li>{M}{sentence(1, 9)}</li><li>{M}{words(1, 9)}</li></ul>", f"<ol><li>{M}{sentence(1, 9)}<li>{M}{prose(3)}</ol>", f"<table><tr><td>{M}{words(1, 4)}</td><td>{M}{words(1, 4)}</td></tr></table>", f"<pre>{M}{words(2, 20)}</pre>", f"<figure><img src=x><figcaption>{M}{sentence()}</figcaption></figure>", f"<section><p>{text}</p></section>", f"<dl><dt>{M}{words(1, 3)}</dt><dd>{M}{sentence()}</dd></dl>")
+        return choice(f"<p>{text}</p>", f"<p>{text}</p>", f"<p>{text}</p>", f"<p>{text}", f"<div>{text}</div>", f"<blockquote>{text}</blockquote>", f"<blockquote><p>{text}</p></blockquote>", f"<h2>{M}{words(1, 7)}</h2><p>{text}</p>", f"<h3>{M}{words(1, 7)}</h3><p>{text}</p>", f"<ul><li>{M}{sentence(1, 9)}</li><li>{M}{words(1, 9)}</li></ul>", f"<ol><li>{M}{sentence(1, 9)}<li>{M}{prose(3)}</ol>", f"<table><tr><td>{M}{words(1, 4)}</td><td>{M}{words(1, 4)}</td></tr></table>", f"<pre>{M}{words(2, 20)}</pre>", f"<figure><img src=x><figcaption>{M}{sentence()}</figcaption></figure>", f"<section><p>{text}</p></section>", f"{text}", f"{text}<ul><li>{M}{words(1, 4)}</li><li>{M}{words(1, 3)}</li></ul>", f"<noscript><p>{text}</p></noscript>", f"<object data=x>{text}</object>", f"<table><tr><th>{M}{words(1, 3)}</th></tr><tr><td>{M}{rng.randrange(1000)}</td><td>{M}{rng.randrange(9)}</td></tr></table>", f"<dl><dt>{M}{words(1, 3)}</dt><dd>{M}{sentence()}</dd></dl>")
 
     def article() -> str:
         parts = [paragraph() for _ in range(rng.randrange(1, 10))]
+        if rng.random() < 0.12:
+            return choice(f"<article><p>{M}{sentence(1, 4)}</p></article>", f"<article>{M}{sentence(1, 9)}</article>", f"<main><p>{M}{words(1, 5)}</p></main>", f"<div{attr('content', 'post', 'main')}>{M}{sentence(1, 6)}</div>", f"<article><h1>{M}{words(1, 4)}</h1><p>{M}{sentence(1, 4)}</p></article>", f"<article>{M}{sentence()}<ul><li>{M}{words(1, 2)}</li></ul></article>", f"<article>{M}{prose()}<table><tr><td>{M}{rng.randrange(99)}</td></tr></table></article>")
         for extra in (advert, advert, sidebar, notice, form, menu):
             if rng.random() < 0.16:
                 parts.insert(rng.randrange(len(parts) + 1), extra())
@@ -313,6 +416,10 @@ def labelled_pages(n: int = PAGES, seed: int = 7) -> list[list[Block]]:
         top = "".join(f() for f in before if rng.random() < 0.35)
         bottom = "".join(f() for f in after if rng.random() < 0.3) + (footer() if rng.random() < 0.85 else "")
         inner = top + "<!-- x -->" + article() + bottom
+        if rng.random() < 0.12:  # nothing but the article
+            inner = choice(article(), article(), f"<p>{M}{prose()}</p><p>{M}{prose()}</p>", f"<p>{M}{sentence()}<p>{M}{sentence(1, 5)}", f"{M}{prose()}", f"<article><p>{M}{sentence(1, 4)}</p></article>", f"<h1>{M}{words(1, 6)}</h1><p>{M}{prose()}</p>")
+            if rng.random() < 0.5:
+                return inner
         if rng.random() < 0.2:
             inner = f"<div{choice('', attr('wrapper', 'container', 'page', 'site', 'layout'))}>{inner}</div>"
         whole = f"<html><head><title>{O}{words(2, 9)}</title><style>p{{}}</style><script>var t='</p>';</script></head><body>{inner}{choice('', '</body></html>', '</body></html>')}"
@@ -333,11 +440,11 @@ def model(n: int = PAGES, seed: int = 7) -> Field:
     return train(labelled_pages(n, seed))
 
 
-def main_text(page: str | None, crf: Field) -> str:
+def main_text(page: str | None, crf: Field, places: Places | None = None) -> str:
     """The blocks labelled main, joined by blank lines. A title in the head is never one."""
     if not page:
         return ""
-    found = blocks(page)
+    found = blocks(page, places)
     labels = crf.viterbi(sequence(found))
     return "\n\n".join(b.text for b, y in zip(found, labels, strict=True) if y)
 
@@ -345,17 +452,18 @@ def main_text(page: str | None, crf: Field) -> str:
 def extract(pages: DataFrame, crf: Field | None = None) -> DataFrame:
     """page_id, url, text and n_chars (code points) of every row of pages (page_id, url, html).
 
-    The whole html counts; a null or empty one, and one without a main block,
-    has the empty text. Repeated rows and null ids stay.
+    The whole html counts, whatever its length, and is read in one pass; a null or empty one, and one without a main block,
+    has the empty text. Tags left open end with the page; elements nested deeper than DEPTH count as siblings. Repeated
+    rows and null ids stay; other columns, of any name, are dropped.
     """
     state = pages.sparkSession.sparkContext.broadcast(crf or model())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        crf = state.value.ready()
+        crf, places = state.value.ready(), Places()
         for batch in batches:
             html = column(batch, "html")
             for lo in range(0, batch.num_rows, 500):
-                texts = [main_text(h.as_py(), crf) for h in html[lo : lo + 500]]
+                texts = [main_text(h.as_py(), crf, places) for h in html[lo : lo + 500]]
                 part = batch.slice(lo, 500)
                 yield pa.RecordBatch.from_arrays([column(part, "page_id"), column(part, "url"), pa.array(texts, pa.string()), pa.array([*map(len, texts)], pa.int64())], ["page_id", "url", "text", "n_chars"])
 

@@ -7,6 +7,10 @@ between the two centroids, so a list whose plane is farther off than the limit
 holds none. In a list, distances come from a table of query and code words
 (asymmetric); a candidate stays if the distance less the known coding error is
 within the limit, and is then ranked by the exact cosine. So no link is lost.
+
+Codes are made in the scan. Vectors travel with them to the blocks of lists, as
+the exact cosine is taken where the candidates are found: candidates that left
+the task would be all couples of a large group.
 """
 
 from __future__ import annotations
@@ -15,7 +19,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,6 +48,17 @@ def unit(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return x, ok
 
 
+def matrix(vectors: pa.Array, width: int) -> np.ndarray:
+    """The vectors as rows, filled up with zeros: that changes no cosine of vectors of one length."""
+    rows = vectors.to_numpy(zero_copy_only=False)
+    if all(len(r) == width for r in rows):
+        return np.stack(rows)
+    out = np.zeros((len(rows), width), np.float32)
+    for k, r in enumerate(rows):
+        out[k, : len(r)] = r
+    return out
+
+
 def kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     """Centroids, from evenly spread rows of x on."""
     k = max(1, min(k, len(x)))
@@ -110,10 +124,9 @@ class Quantizer:
         return out
 
 
-def neighbours(q: Quantizer, which: int, queries: np.ndarray, base: np.ndarray, cosine: float, step: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(places in queries, places in base) with at least cosine, in portions; base are unit vectors of list which."""
+def neighbours(q: Quantizer, which: int, queries: np.ndarray, base: np.ndarray, codes: np.ndarray, left: np.ndarray, cosine: float, step: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places in queries, places in base) with at least cosine, in portions; base are unit vectors of list which, with their codes and what these leave out."""
     radius = np.sqrt(2 - 2 * cosine)
-    codes, left = q.encode(base, np.full(len(base), which))
     for at in range(0, len(queries), step):
         some = queries[at : at + step]
         near = np.sqrt(np.maximum(q.distances(some, which, codes), 0)) - left <= radius + 1e-3
@@ -133,41 +146,34 @@ def links(vectors: DataFrame, cosine: float = 0.98, sample: int = SAMPLE) -> Dat
     different lengths. n_links counts linked rows; equal vectors are compared
     once and counted as often as they occur. component_id is the smallest
     vec_id reachable; rows without a label or a usable vector are their own.
-    Repeated rows (of the same id as well) link like different ones.
+    Repeated rows (of the same id as well) link like different ones: a component is one of rows, not of ids.
+    Other columns are dropped. All lengths and labels are handled by the same jobs.
     """
-    spark = vectors.sparkSession
     fine = F.col("label").isNotNull() & F.col("embedding").isNotNull() & F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & ~F.exists("embedding", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) & F.exists("embedding", lambda v: v != 0)
     rows = vectors.select("vec_id", "embedding", "label", F.coalesce(fine, F.lit(False)).alias("fine"))
-    # one row for equal vectors of a label: key tells them apart
-    keyed = rows.where("fine").select("vec_id", F.col("label").cast("string").alias("label"), "embedding", F.xxhash64("label", "embedding").alias("key"))
-    distinct = written(keyed.groupBy("label", "embedding", "key").agg(F.min("vec_id").alias("low"), F.count("*").alias("copies")), "vectors")
-    number = distinct.count()
+    # vectors meet within a label and length only; a row for equal ones, whose number is kept with them in the table
+    keyed = rows.where("fine").select("vec_id", F.concat_ws("/", F.size("embedding"), F.col("label").cast("string")).alias("label"), "embedding")
+    distinct = keyed.groupBy("label", "embedding").agg(F.min("vec_id").alias("low"), F.count("*").alias("copies"))
+    distinct = written(distinct.withColumn("node", F.monotonically_increasing_id()), "vectors")
     singles = rows.where("not fine").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    if not number:
+    if distinct.isEmpty():
         return singles
-    widths = [r.width for r in distinct.select(F.size("embedding").alias("width")).distinct().orderBy("width").limit(1000).collect()]
-    if len(widths) == 1000:
-        raise ValueError("vectors of a thousand different lengths")
-    parts = [_linked(distinct.where(F.size("embedding") == w), cosine, sample) for w in widths]
-    counts = parts[0][0]
-    edges = parts[0][1]
-    for c, e in parts[1:]:
-        counts, edges = counts.unionByName(c), edges.unionByName(e)
-    # low, the smallest id of equal vectors, names them; ids may repeat, so the pair (low, key) is what counts
-    roots = connected(edges)
-    named = distinct.join(counts, ["low", "key"], "left").join(roots, distinct["low"] == roots["node"], "left")
-    named = named.select("label", "embedding", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"), F.coalesce("root", "low").alias("component_id"))
-    back = keyed.select("vec_id", "label", "embedding").join(named, ["label", "embedding"])
+    counts, edges = _linked(distinct, cosine, sample)
+    named = distinct.join(counts, "node", "left").join(connected(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    lows = named.groupBy("root").agg(F.min("low").alias("component_id"))
+    named = named.join(lows, "root").select("label", "embedding", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"), "component_id")
+    back = keyed.join(named, ["label", "embedding"])
     return back.select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept")).unionByName(singles)
 
 
 def _linked(distinct: DataFrame, cosine: float, sample: int) -> tuple[DataFrame, DataFrame]:
-    """(low, key, others: linked rows of other vectors) and spanning edges (a, b), of distinct vectors of one length."""
+    """(node, others: linked rows of other vectors) and spanning edges (a, b) of nodes, of distinct vectors (node, label, embedding, copies)."""
     spark = distinct.sparkSession
-    largest, total = distinct.groupBy("label").count().agg(F.max("count"), F.sum("count")).first()  # only vectors of one label meet
-    some = lowest(distinct.select("embedding", "low", "key"), sample, total, "low", "key").select("embedding").toPandas()
-    lists = max(1, min(MAX_LISTS, largest // LIST_ROWS, len(some) // 4))
-    state = spark.sparkContext.broadcast(Quantizer.fit(unit(np.stack(some["embedding"].to_numpy()))[0], lists))
+    sizes = distinct.groupBy("label").agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("width"))
+    largest, total, width = sizes.agg(F.max("n"), F.sum("n"), F.max("width")).first()  # only vectors of one label meet
+    some = lowest(distinct.select("embedding", "low", "node"), sample, total, "low", "node").select("embedding").toArrow()
+    lists = max(1, min(MAX_LISTS, largest // LIST_ROWS, some.num_rows // 4))
+    state = spark.sparkContext.broadcast(Quantizer.fit(unit(matrix(some["embedding"].combine_chunks(), width))[0], lists))
     radius = float(np.sqrt(2 - 2 * cosine))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,61 +181,86 @@ def _linked(distinct: DataFrame, cosine: float, sample: int) -> tuple[DataFrame,
         for batch in batches:
             for lo in range(0, batch.num_rows, 1024):
                 part = batch.slice(lo, 1024)
-                x = unit(np.stack(column(part, "embedding").to_numpy(zero_copy_only=False)))[0]
+                x = unit(matrix(column(part, "embedding"), width))[0]
                 own = nearest(x, q.centroids)[0]
-                yield pa.RecordBatch.from_arrays([*(column(part, c) for c in ("low", "key", "label", "copies", "embedding")), pa.array(own.astype(np.int32))], ["low", "key", "label", "copies", "embedding", "list"])
+                codes, left = q.encode(x, own)
+                yield pa.RecordBatch.from_arrays([*(column(part, c) for c in ("node", "label", "copies", "embedding")), pa.array(own.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(left)], ["node", "label", "copies", "embedding", "list", "codes", "rest"])
 
-    base = written(distinct.mapInArrow(assign, "low long, key long, label string, copies long, embedding array<float>, list int"), "lists")
-    # lists are split into blocks by hash, so that a task holds one block of vectors and one of queries
-    sizes = base.groupBy("label", "list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    block = F.pmod(F.xxhash64("low", "key"), F.col("blocks")).cast("int")
-    stored = base.join(sizes, ["label", "list"]).withColumn("block", block)
+    base = written(distinct.mapInArrow(assign, "node long, label string, copies long, embedding array<float>, list int, codes binary, rest double"), "lists")
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q = state.value
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
-                x = unit(np.stack(column(part, "embedding").to_numpy(zero_copy_only=False)))[0]
                 own = column(part, "list").to_numpy()
-                row, to = q.probes(x, own, radius)
-                yield pa.RecordBatch.from_arrays([*(column(part, c).take(pa.array(row)) for c in ("low", "key", "label", "copies", "embedding")), pa.array(to.astype(np.int32)), pa.array(to == own[row])], ["low", "key", "label", "copies", "embedding", "list", "home"])
+                row, to = q.probes(unit(matrix(column(part, "embedding"), width))[0], own, radius)
+                yield pa.RecordBatch.from_arrays([*(column(part, c).take(pa.array(row)) for c in ("node", "label", "copies", "embedding")), pa.array(to.astype(np.int32)), pa.array(to == own[row])], ["node", "label", "copies", "embedding", "list", "home"])
+
+    def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in probe(batches):
+            n = batch.select(["label", "list"]).to_pandas().value_counts(["label", "list"]).reset_index(name="n")
+            yield pa.RecordBatch.from_pandas(n.astype({"n": "int64", "list": "int32"}), preserve_index=False)
 
-    asked = base.mapInArrow(probe, "low long, key long, label string, copies long, embedding array<float>, list int, home boolean")
-    asked = asked.join(sizes, ["label", "list"]).withColumn("qblock", block).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tagged = stored.select("label", "list", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("qblock"), "low", "key", "copies", "embedding", F.lit(True).alias("stored"), F.lit(True).alias("home"))
-    both = tagged.unionByName(asked.select("label", "list", "block", "qblock", "low", "key", "copies", "embedding", F.lit(False).alias("stored"), "home"))
+    # lists are split into blocks of stored vectors, and of queries by their own number, so that a task holds one block of each
+    split = lambda n: F.ceil(n / BLOCK).cast("int")
+    stored_n = base.groupBy("label", "list").agg(split(F.count("*")).alias("blocks"))
+    asked_n = base.mapInArrow(visits, "label string, list int, n long").groupBy("label", "list").agg(split(F.sum("n")).alias("qblocks"))
+    blocks = written(stored_n.join(asked_n, ["label", "list"]), "blocks")  # a list without vectors answers nothing
+    place = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    stored = base.join(blocks, ["label", "list"]).withColumn("block", place("blocks")).withColumn("qblock", every("qblocks")).withColumn("stored", F.lit(True)).withColumn("home", F.lit(True))
+    asked = base.mapInArrow(probe, "node long, label string, copies long, embedding array<float>, list int, home boolean").join(blocks, ["label", "list"])
+    asked = asked.withColumn("qblock", place("qblocks")).withColumn("block", every("blocks")).withColumn("stored", F.lit(False)).withColumn("codes", F.lit(None).cast("binary")).withColumn("rest", F.lit(None).cast("double"))
+    names = ["label", "list", "block", "qblock", "node", "copies", "embedding", "codes", "rest", "stored", "home"]
+    both = stored.select(*names).unionByName(asked.select(*names))
 
-    def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    def compare(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         q = state.value
-        stored = pdf["stored"].to_numpy()
-        b, a = pdf[stored], pdf[~stored]
-        x = unit(np.stack(a["embedding"].to_numpy()))[0] if len(a) else np.zeros((0, 1))
-        y = unit(np.stack(b["embedding"].to_numpy()))[0] if len(b) else np.zeros((0, 1))
-        low_a, key_a, low_b, key_b = (v.to_numpy() for v in (a["low"], a["key"], b["low"], b["key"]))
+        is_stored = table["stored"].to_numpy()
+        b, a = table.filter(pa.array(is_stored)), table.filter(pa.array(~is_stored))
+        node_a, node_b = a["node"].to_numpy(), b["node"].to_numpy()
         copies_a, copies_b, home = a["copies"].to_numpy(), b["copies"].to_numpy(), a["home"].to_numpy()
-        others, others_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
-        names, place = np.unique(np.concatenate([low_a, low_b]), return_inverse=True)
+        others, others_b = np.zeros(len(node_a), np.int64), np.zeros(len(node_b), np.int64)
+        names, spot = np.unique(np.concatenate([node_a, node_b]), return_inverse=True)
         root = np.arange(len(names))
-        if len(a) and len(b):
-            for i, j in neighbours(q, int(key[1]), x, y, cosine):
-                differ = (low_a[i] != low_b[j]) | (key_a[i] != key_b[j])
+        if len(node_a) and len(node_b):
+            x, y = (unit(matrix(t["embedding"].combine_chunks(), width))[0] for t in (a, b))
+            codes = np.frombuffer(b"".join(b["codes"].to_pylist()), np.uint8).reshape(len(node_b), SUBSPACES)
+            for i, j in neighbours(q, key[1].as_py(), x, y, codes, b["rest"].to_numpy(), cosine):
+                differ = node_a[i] != node_b[j]
                 i, j = i[differ], j[differ]
-                others += np.bincount(i, copies_b[j], len(a)).astype(np.int64)
+                others += np.bincount(i, copies_b[j], len(node_a)).astype(np.int64)
                 away = ~home[i]  # vectors of one list meet both ways, those of two lists once
-                others_b += np.bincount(j[away], copies_a[i[away]], len(b)).astype(np.int64)
-                join_roots(root, place[i], place[len(a) + j])
-        low, code, others = np.concatenate([low_a, low_b]), np.concatenate([key_a, key_b]), np.concatenate([others, others_b])
+                others_b += np.bincount(j[away], copies_a[i[away]], len(node_b)).astype(np.int64)
+                join_roots(root, spot[i], spot[len(node_a) + j])
+        node, others = np.concatenate([node_a, node_b]), np.concatenate([others, others_b])
         found = np.flatnonzero(others)
         linked = np.flatnonzero(root != np.arange(len(names)))
-        n = len(found) + len(linked)
-        out = pd.DataFrame({"low": np.zeros(n, np.int64), "key": np.zeros(n, np.int64), "others": np.zeros(n, np.int64), "a": np.zeros(n, np.int64), "b": np.zeros(n, np.int64), "edge": np.arange(n) >= len(found)})
-        out.loc[: len(found) - 1, ["low", "key", "others"]] = np.column_stack([low[found], code[found], others[found]])
-        if len(linked):
-            out.loc[len(found) :, ["a", "b"]] = np.column_stack([names[root[linked]], names[linked]])
-        return out
+        none = np.zeros(len(linked), np.int64)
+        return pa.table({"node": np.concatenate([node[found], names[root[linked]]]), "others": np.concatenate([others[found], none]), "to": np.concatenate([np.zeros(len(found), np.int64), names[linked]]), "edge": np.arange(len(found) + len(linked)) >= len(found)})
 
-    found = both.groupBy("label", "list", "block", "qblock").applyInPandas(compare, "low long, key long, others long, a long, b long, edge boolean")
+    found = both.groupBy("label", "list", "block", "qblock").applyInArrow(compare, "node long, others long, to long, edge boolean")
     found = written(found, "links")
-    counts = found.where("not edge").groupBy("low", "key").agg(F.sum("others").alias("others"))
-    return counts, found.where("edge").select("a", "b")
+    counts = found.where("not edge").groupBy("node").agg(F.sum("others").alias("others"))
+    return counts, found.where("edge").select(F.col("node").alias("a"), F.col("to").alias("b"))
+
+
+#: The SQL of op6: every couple of a label, and the reach over links.
+SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e, row_number() OVER () AS n FROM embeddings
+), fine AS (
+  SELECT * FROM v WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(e) > 0
+    AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.n AS a, b.n AS b FROM fine a JOIN fine b ON a.label = b.label AND len(a.e) = len(b.e) AND a.n <> b.n AND list_cosine_similarity(a.e, b.e) >= 0.98
+), reach AS (
+  SELECT n AS a, n AS b FROM v UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+), least AS (
+  SELECT reach.a AS n, min(v.vec_id) AS component_id FROM reach JOIN v ON v.n = reach.b GROUP BY reach.a
+), counted AS (
+  SELECT a AS n, count(*) AS n_links FROM links GROUP BY a
+)
+SELECT vec_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, component_id, coalesce(vec_id = component_id, true) AS kept FROM v JOIN least USING (n) LEFT JOIN counted USING (n)
+"""

@@ -94,4 +94,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_mixing": mixing.SQL, "op10_license_scan": licenses.sql()}
+    return {"op6_embedding_dedup": pq.SQL, "op8_mixing": mixing.SQL, "op10_license_scan": licenses.sql()}

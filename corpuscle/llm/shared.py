@@ -129,11 +129,17 @@ def release() -> None:
         trim(0)
 
 
+#: What the operators keep between the tasks of one worker, by module; another operator's first task empties it.
+memories: dict[str, Callable[[], None]] = {}
+
+
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """run, with :func:`release` at its end."""
+    """run, with the memories of other operators emptied at its beginning and :func:`release` at its end: workers outlive their tasks."""
 
     @functools.wraps(run)
     def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for module in [m for m in memories if m != run.__module__]:
+            memories.pop(module)()
         try:
             yield from run(batches)
         finally:

@@ -7,10 +7,12 @@ are inserted or left out. With landmarks the kernel becomes a linear map, and
 the machine over it one weight for each triple of characters: a word of any
 length is scored by adding up the weights of its triples.
 
-Sentences of labelled documents teach it: those of clean documents are clean,
-and those of toxic ones are toxic where they hold a witness, a word met in many
-different contexts in toxic documents and hardly in clean ones. A document's
-score is a logistic function of its most toxic words' values and its length.
+It learns from the words of labelled documents, not from whole sentences: the
+positive words are witnesses, which stand after many different words in toxic
+documents and hardly in clean ones; the clean ones are those of clean documents. A document's
+score is a logistic function of its most toxic words' values and its length. So
+an insult of several harmless words isn't seen, but runs of single letters are
+one word.
 """
 
 from __future__ import annotations
@@ -32,7 +34,8 @@ from corpuscle.llm.shared import column, lowest, tidy, written
 LETTERS, REACH, GAP = 32, 3, 0.6
 #: Labelled documents that are learned from, by hash of the id: a bounded sample.
 TOXIC_SAMPLE, CLEAN_SAMPLE = 3_000, 12_000
-LANDMARKS, WITNESSES, OTHERS, HARD = 320, 400, 6_000, 3_000
+#: Landmarks, and how many clean words the machines are trained on: frequent and sampled ones, and those nearest to insults.
+LANDMARKS, OTHERS, HARD = 320, 6_000, 3_000
 #: Sharpness of the exponential over the kernel, limit of decision values, and how many words decide on a document.
 SHARP, BOUND, TOP = 6.0, 1.5, 3
 #: Log-likelihood ratio (G2) from which a word is a witness.
@@ -332,7 +335,7 @@ def train(docs: DataFrame, labels: DataFrame, toxic_sample: int = TOXIC_SAMPLE,
     a, b = F.least(F.col("toxic"), F.lit(n_toxic)).cast("double"), F.col("clean").cast("double")
     g2 = 2 * (a * F.log(a / ((a + b) * share)) + F.when(b > 0, b * F.log(b / ((a + b) * (1 - share)))).otherwise(0.0))
     strong = words.where("toxic >= 3").withColumn("g2", g2).where((F.col("g2") >= EVIDENCE) & (b <= 0.1 * a * (1 - share) / share))
-    toxic = {r.word: r.toxic for r in strong.orderBy(F.desc("g2"), "word").limit(WITNESSES).collect()}
+    toxic = {r.word: r.toxic for r in strong.orderBy(F.desc("g2"), "word").collect()}  # words of the sample of documents, which is of bounded size
     calm = words.where("clean > 0").where(~F.col("word").isin(list(toxic)))
     clean = [r.word for r in calm.orderBy(F.desc("clean"), "word").limit(OTHERS // 3).collect()]
     clean += [r.word for r in calm.orderBy(F.xxhash64("word"), "word").limit(OTHERS).collect()]
