@@ -119,13 +119,13 @@ def shared_filter(docs: DataFrame) -> np.ndarray:
 def store(docs: DataFrame) -> DataFrame:
     """The chunk store of docs, written to the shared folder: rows of two kinds.
 
-    A pack (doc_id, payload digest, n_bytes, digests, lengths, body) holds a
-    document's chunk list; body is the compressed run of the chunks that only
-    it has (their places are in own). A chunk row (digest, body) holds a shared
-    chunk; a task writes each once, so that equal ones may repeat across tasks.
+    A pack (doc_id, payload digest, n_bytes, digests, own, bodies) holds a
+    document's chunk list, and the compressed chunks that only it has (their places are in own).
+    A chunk row (digest, body) holds a shared compressed chunk; a task writes each once,
+    so that equal ones may repeat across tasks. A chunk is stored as the same bytes in either place.
     """
     state = docs.sparkSession.sparkContext.broadcast(shared_filter(docs))
-    schema = "doc_id long, payload binary, n_bytes long, digests array<binary>, lengths array<int>, own array<int>, digest binary, body binary"
+    schema = "doc_id long, payload binary, n_bytes long, digests array<binary>, own array<int>, bodies array<binary>, digest binary, body binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filled = state.value
@@ -143,37 +143,31 @@ def store(docs: DataFrame) -> DataFrame:
                     at = _places(np.frombuffer(b"".join(keys), np.uint8).reshape(-1, 32))
                     shared = ((filled[at >> 6] >> (at & np.uint32(63)).astype(np.uint64)) & np.uint64(1)).all(axis=1).tolist()
                     own = [k for k, s in enumerate(shared) if not s]
-                    rows.append((ids[i].as_py(), digest(data), n, keys, [len(c) for c in parts], own, None, pack.compress(b"".join(parts[k] for k in own))))
+                    rows.append((ids[i].as_py(), digest(data), n, keys, own, [pack.compress(parts[k]) for k in own], None, None))
                     for k, s in enumerate(shared):
                         if s and keys[k] not in sent:
                             if len(sent) > 500_000:
                                 sent.clear()
                             sent.add(keys[k])
                             rows.append((None, None, None, None, None, None, keys[k], pack.compress(parts[k])))
-                types = [pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["doc_id", "payload", "n_bytes", "digests", "lengths", "own", "digest", "body"])
+                types = [pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.list_(pa.binary()), pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["doc_id", "payload", "n_bytes", "digests", "own", "bodies", "digest", "body"])
 
     return written(docs.select("doc_id", "text").mapInArrow(run, schema), "chunks", "uncompressed")
 
 
-def rebuilt(keys: list[bytes], lengths: list[int], own: list[int], body: bytes, more: dict[int, bytes]) -> bytes:
-    """The payload of an ordered chunk list; every chunk is checked against its digest."""
+def rebuilt(keys: list[bytes], stored: list[bytes]) -> bytes:
+    """The payload of an ordered chunk list and its stored chunks; every chunk is checked against its digest."""
     unpack = zstandard.ZstdDecompressor()
-    run = unpack.decompress(body)
-    at, parts = 0, {}
-    for k in own:
-        parts[k] = run[at : at + lengths[k]]
-        at += lengths[k]
-    parts |= {k: unpack.decompress(b) for k, b in more.items()}
-    out = [parts[k] for k in range(len(keys))]
+    out = [unpack.decompress(b) for b in stored]
     if any(digest(c) != k for c, k in zip(out, keys, strict=True)):
         raise ValueError("a stored chunk doesn't have its digest")
     return b"".join(out)
 
 
-def media(keys: list[bytes], data: bytes) -> bytes:
-    """The stored form of one payload: the chunk list (digests) after its length, then the 8-bit samples."""
-    return len(keys).to_bytes(4, "big") + b"".join(keys) + data
+def media(keys: list[bytes], stored: list[bytes]) -> bytes:
+    """The stored form of one payload, as read: the chunk list (digests) after its length, then each stored chunk after its length."""
+    return len(keys).to_bytes(4, "big") + b"".join(keys) + b"".join(len(b).to_bytes(4, "big") + b for b in stored)
 
 
 def feature(data: bytes, n_chunks: int) -> str:
@@ -188,10 +182,13 @@ def feature(data: bytes, n_chunks: int) -> str:
 _OUT = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
-def _values(keys: list[bytes], data: bytes, want: bytes) -> tuple:
+def _values(keys: list[bytes], own: list[int], bodies: list[bytes], more: dict[int, bytes], want: bytes) -> tuple:
+    found = dict(zip(own, bodies, strict=True)) | more
+    stored = [found[k] for k in range(len(keys))]
+    data = rebuilt(keys, stored)
     if digest(data) != want:
         raise ValueError("a rebuilt payload doesn't have its digest")
-    form = media(keys, data)
+    form = media(keys, stored)
     return len(data), want.hex(), zlib.crc32(data[-BLOCK:]), len(form), hashlib.sha256(form).hexdigest(), feature(data, len(keys))
 
 
@@ -206,23 +203,24 @@ def features(docs: DataFrame) -> DataFrame:
 
     A null text counts as empty: a payload of BLOCK zeros. Repeated rows and
     null ids stay. The values are computed from the bytes that the store gives
-    back; a chunk or payload that lacks its digest raises an error.
+    back; a chunk or payload that lacks its digest raises an error. media_bytes and media_sha256 are of the bytes
+    that are stored for the payload: its digests and its compressed chunks. Other columns, of any name, are dropped.
     """
     stored = store(docs)
-    packs = stored.where("payload is not null").select("doc_id", "payload", "n_bytes", "digests", "lengths", "own", "body")
+    packs = stored.where("payload is not null").select("doc_id", "payload", "n_bytes", "digests", "own", "bodies")
     whole = F.size("own") == F.size("digests")
 
     def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 rows = batch.slice(lo, 500).to_pylist()
-                values = [_values(r["digests"], rebuilt(r["digests"], r["lengths"], r["own"], r["body"], {}), r["payload"]) for r in rows]
+                values = [_values(r["digests"], r["own"], r["bodies"], {}, r["payload"]) for r in rows]
                 yield _batch([[r["doc_id"] for r in rows], [r["n_bytes"] for r in rows]], values, ["doc_id", "n_bytes"], [pa.int64(), pa.int64()])
 
     simple = packs.where(whole).mapInArrow(alone, f"doc_id long, n_bytes long, {_OUT}")
 
     mixed = packs.where(~whole)
-    once = mixed.select("payload", "digests", "lengths", "own", "body").dropDuplicates(["payload"])
+    once = mixed.select("payload", "digests", "own", "bodies").dropDuplicates(["payload"])
     missing = once.select("payload", F.posexplode("digests").alias("pos", "digest"), "own").where(~F.array_contains("own", F.col("pos"))).drop("own")
     bodies = stored.where("digest is not null").select("digest", "body").dropDuplicates(["digest"])
     fetched = missing.join(bodies, "digest").groupBy("payload").agg(F.collect_list(F.struct("pos", "body")).alias("more"))  # one payload's chunks
@@ -231,7 +229,7 @@ def features(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for lo in range(0, batch.num_rows, 200):
                 rows = batch.slice(lo, 200).to_pylist()
-                values = [_values(r["digests"], rebuilt(r["digests"], r["lengths"], r["own"], r["body"], {x["pos"]: x["body"] for x in r["more"]}), r["payload"]) for r in rows]
+                values = [_values(r["digests"], r["own"], r["bodies"], {x["pos"]: x["body"] for x in r["more"]}, r["payload"]) for r in rows]
                 yield _batch([[r["payload"] for r in rows]], values, ["payload"], [pa.binary()])
 
     read = once.join(fetched, "payload").mapInArrow(filled, f"payload binary, {_OUT}")

@@ -23,9 +23,9 @@ LABEL = "\x01"  # begins the item that stands for a label
 #: (verdict, host, path)
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 SUPPORT, CONFIDENCE = 0.002, 0.8
-#: Frequent combinations that the driver takes; with more, the support doubles until they fit.
-MAX_ITEMSETS = 200_000
-#: Host labels and path parts that become tokens, from the right and from the left.
+#: The most tokens of a rule. With the support it bounds the number of combinations, whatever the number of rows: those of a URL by the support.
+MAX_TOKENS = 4
+#: Host labels (from the right) and path parts (from the left) that become tokens with their place; deeper ones are tokens without it.
 HOST_TOKENS, PATH_TOKENS = 4, 3
 
 
@@ -49,15 +49,15 @@ def stated_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str]
 
 
 def tokens(host: Column, path: Column, url: Column) -> Column:
-    """Distinct tokens of a URL: its host's labels by place from the right, its first path parts, the keys of its query. Parts with a digit become one token."""
+    """Distinct tokens of a URL: all labels of its host by place from the right, all parts of its path, all keys of its query. Parts with a digit become one token."""
     labels = F.reverse(F.split(host, r"\."))
     parts = F.filter(F.split(path, "/"), lambda x: x != "")
     plain = lambda x: F.when(x.rlike("[0-9]"), F.lit("#")).otherwise(x)
-    from_host = F.transform(F.slice(labels, 1, HOST_TOKENS), lambda x, i: F.concat(F.lit("h"), i.cast("string"), F.lit(":"), plain(x)))
-    from_path = F.transform(F.slice(parts, 1, PATH_TOKENS), lambda x, i: F.concat(F.lit("p"), i.cast("string"), F.lit(":"), plain(x)))
+    from_host = F.transform(labels, lambda x, i: F.concat(F.lit("h"), F.when(i < HOST_TOKENS, i.cast("string")).otherwise("+"), F.lit(":"), plain(x)))
+    from_path = F.transform(parts, lambda x, i: F.concat(F.lit("p"), F.when(i < PATH_TOKENS, i.cast("string")).otherwise("+"), F.lit(":"), plain(x)))
     query = F.regexp_extract(F.coalesce(url, F.lit("")), r"\?([^#]*)", 1)
     keys = F.transform(F.filter(F.split(query, "&"), lambda x: x != ""), lambda x: F.concat(F.lit("q:"), F.regexp_extract(x, "^[^=]*", 0)))
-    return F.array_distinct(F.concat(F.when(host == "", F.array().cast("array<string>")).otherwise(from_host), from_path, F.slice(keys, 1, 4)))
+    return F.array_distinct(F.concat(F.when(host == "", F.array().cast("array<string>")).otherwise(from_host), from_path, keys))
 
 
 @dataclass(frozen=True)
@@ -68,25 +68,28 @@ class Rule:
     confidence: float
 
 
-def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> list[Rule]:
+def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> tuple[list[Rule], dict[str, str]]:
     """Rules from labelled (array column tokens, string column label), the surest first; ties by support, length and tokens.
 
-    Rows without tokens or label don't count; no rows give no rules.
+    Frequent tokens that always occur together count as one, named by the first of them (the second result names it for the
+    others): so that a long run of them isn't mined in all its parts. Rows without tokens or label don't count; no rows give no rules.
     """
-    rows = labelled.where("label is not null and size(tokens) > 0").select(F.concat("tokens", F.array(F.concat(F.lit(LABEL), "label"))).alias("items")).persist()
+    rows = labelled.where("label is not null and size(tokens) > 0").select("tokens", F.concat(F.lit(LABEL), "label").alias("label")).persist()
     try:
         n = rows.count()
         if not n:
-            return []
-        while True:
-            found = FPGrowth(itemsCol="items", minSupport=support, numPartitions=int(labelled.sparkSession.conf.get("spark.sql.shuffle.partitions"))).fit(rows).freqItemsets
-            taken = found.limit(MAX_ITEMSETS + 1).collect()
-            if len(taken) <= MAX_ITEMSETS:
-                break
-            support *= 2
+            return [], {}
+        each = rows.withColumn("row", F.monotonically_increasing_id()).select(F.xxhash64("row").alias("row"), F.explode("tokens").alias("token"))
+        kinds = each.groupBy("token").agg(F.count("*").alias("n"), F.bit_xor("row").alias("rows")).where(F.col("n") >= support * n)
+        kinds = kinds.groupBy("n", "rows").agg(F.array_sort(F.collect_list("token")).alias("t")).where("size(t) > 1").select("t").collect()  # frequent tokens: those of a URL by the support
+        twins = {x: r.t[0] for r in kinds for x in r.t[1:]}
+        alone = F.array_except("tokens", F.array(*map(F.lit, sorted(twins)))) if twins else F.col("tokens")
+        items = rows.select(F.concat(alone, F.array("label")).alias("items"))
+        found = FPGrowth(itemsCol="items", minSupport=support, numPartitions=int(labelled.sparkSession.conf.get("spark.sql.shuffle.partitions"))).fit(items).freqItemsets
+        taken = found.where(F.size("items") <= MAX_TOKENS + F.exists("items", lambda x: x.startswith(LABEL)).cast("int")).collect()
     finally:
         rows.unpersist()
-    return rules_of({frozenset(r["items"]): r.freq for r in taken}, confidence)
+    return rules_of({frozenset(r["items"]): r.freq for r in taken}, confidence), twins
 
 
 def rules_of(freq: dict[frozenset[str], int], confidence: float) -> list[Rule]:
@@ -111,8 +114,8 @@ def rules_of(freq: dict[frozenset[str], int], confidence: float) -> list[Rule]:
 class Index:
     """Rules by the rarest of their tokens."""
 
-    def __init__(self, rules: Sequence[Rule]) -> None:
-        self.rules = rules
+    def __init__(self, rules: Sequence[Rule], twins: dict[str, str] | None = None) -> None:
+        self.rules, self.twins = rules, twins or {}
         seen: dict[str, int] = {}
         for r in rules:
             for x in r.items:
@@ -123,7 +126,7 @@ class Index:
 
     def match(self, items: Sequence[str]) -> Rule | None:
         """The first rule, in their order, all of whose tokens occur."""
-        have = set(items)
+        have = {self.twins.get(x, x) for x in items}
         hits = (next((i for i in self.lists.get(x, ()) if self.rules[i].items <= have), None) for x in have)
         best = min((i for i in hits if i is not None), default=None)
         return None if best is None else self.rules[best]
@@ -135,16 +138,17 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, defau
     A stated rule decides where one fits. The URLs it decides are the labelled
     ones from which association rules are mined; the first of those that matches
     decides the others, else default does. mined is the matching rule's tokens (null: none). A null or malformed URL
-    has an empty host and path, no rule and the default. Repeated rows stay.
+    has an empty host and path, no rule and the default. URLs count in all their length: each label, part and key is a
+    token. Repeated rows stay; other columns, of any name, are dropped.
     """
     host, path = host_and_path()
     rows = pages.select("page_id", "url", host.alias("host"), path.alias("path"))
     rows = rows.select("page_id", "host", "path", stated_rule(F.col("host"), F.col("path"), rules).alias("stated"), tokens(F.col("host"), F.col("path"), F.col("url")).alias("tokens"))
     learned = mine(rows.where("stated is not null").select("tokens", F.col("stated.verdict").alias("label")), support, confidence)
-    state = pages.sparkSession.sparkContext.broadcast(learned)  # MAX_ITEMSETS rules at most
+    state = pages.sparkSession.sparkContext.broadcast(learned)  # bounded by support and MAX_TOKENS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(state.value)
+        index = Index(*state.value)
         known: dict[tuple[str, ...], tuple[str, str | None]] = {}
         for batch in batches:
             verdicts, mined = [], []

@@ -135,6 +135,24 @@ def test_main_text():
     assert html.main_text(None, html.model()) == "" == html.main_text("", html.model()) == html.main_text("<script>x</script>", html.model().ready())
 
 
+@pytest.mark.parametrize("page, text", [("<article><p>Short one.</p></article>", "Short one."), ("<article>This is a long sentence that stands alone in its article. It goes on.<ul><li>x</li></ul><table><tr><td>1</td></tr></table></article>", "This is a long sentence that stands alone in its article. It goes on.\n\nx\n\n1"), ("<article><noscript><p>Some fallback sentence for readers.</p></noscript><object>Another fallback text.</object></article>", "Some fallback sentence for readers.\n\nAnother fallback text."), ("plain text only without any tag at all.", "plain text only without any tag at all."), ("<p>para one is here.<p>para two.", "para one is here.\n\npara two.")])
+def test_short_and_bare_articles(page, text):
+    assert html.main_text(page, html.model().ready()) == text
+
+
+@pytest.mark.parametrize("page", ["<a " * 333_333, '<a "' * 250_000, "<div>" * 200_000, "<div>x" * 166_000, "<b>" * 1000 + "<div>" * 200_000, "<!--" * 250_000, "<script>" * 125_000, "&#" + "9" * 1_000_000 + ";", "<" * 1_000_000, "<p>" * 100_000 + "</div>" * 100_000, "<a x='\"'>\"" * 90_000, "<h1>" * 300 + "<p>x" * 200_000])
+def test_hostile_pages_take_linear_time(page):
+    import time
+
+    def took(p):
+        began = time.process_time()
+        html.blocks(p)
+        return time.process_time() - began
+
+    half, whole = took(page[: len(page) // 2]), took(page)
+    assert whole < 12 and whole < 4 * half + 0.5
+
+
 def test_field_on_held_out_pages():
     crf = html.model().ready()
     right = total = 0
