@@ -69,7 +69,12 @@ def sphere_contacts(rows: DataFrame, max_radius: float, right: DataFrame | None
     d = _delta()
     reach = F.col("radius_i") + F.col("radius_j") + skin
     out = range_join(i, j, [f"{a}_i" for a in POS], [f"{a}_j" for a in POS], 2 * max_radius + skin, (d.squared_length() < reach * reach) & other_row(right, half))
-    out = out.withColumns({"dx": d.x, "dy": d.y, "dz": d.z, "rsq": d.squared_length()}).withColumn("dist", F.sqrt("rsq"))
+    return _touching(out.withColumns({"dx": d.x, "dy": d.y, "dz": d.z, "rsq": d.squared_length()}))
+
+
+def _touching(out: DataFrame) -> DataFrame:
+    """The geometry of sphere couples that have dx.. and rsq."""
+    out = out.withColumn("dist", F.sqrt("rsq"))
     out = out.withColumn("depth", F.col("dist") - F.col("radius_i") - F.col("radius_j"))
     out = out.withColumns({f"normal_{a}": safe_div(F.col(f"d{a}"), F.col("dist")) for a in POS})
     return out.withColumns({f"point_{a}": F.col(f"{a}_j") + F.col(f"normal_{a}") * (F.col("radius_j") + 0.5 * F.col("depth")) for a in POS})
@@ -191,8 +196,25 @@ def candidates(rows: DataFrame, right: DataFrame, reach: float) -> DataFrame:
     return near.select("uid_i", "uid_j", *SHIFTS)
 
 
-def from_candidates(rows: DataFrame, couples: DataFrame, cutoff: float, lengths: Sequence[float], columns_i: Sequence[str] = (), columns_j: Sequence[str] = ()) -> DataFrame:
-    """The couples of :func:`cutoff_couples` from stored candidates and the rows' present places: two joins by uid, and the exact test."""
+def cell_couples(rows: DataFrame, right: DataFrame, reach: float, parts: int = 8) -> DataFrame:
+    """The couples of :func:`candidates` by way of stored lists of each cell: a row reads the lists of the cell that it is in.
+
+    Cells are reach wide; a cell's list holds the rows of the 27 cells around it, in parts by hash of the uid, so
+    that a crowded cell isn't one row.
+    """
+    near = F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), F.lit(z).alias("z")) for x in (-1, 0, 1) for y in (-1, 0, 1) for z in (-1, 0, 1)))
+    cell = [F.floor(F.col(a) / reach).cast("long").alias(f"c{a}") for a in POS]
+    keys = [f"c{a}" for a in POS]
+    left = eligible(rows).select(F.col("uid").alias("uid_i"), *cell)
+    spread = right.select("uid", "is_ghost", *SHIFTS, *cell).withColumn("d", F.explode(near)).select("uid", "is_ghost", *SHIFTS, *((F.col(f"c{a}") + F.col(f"d.{a}")).alias(f"c{a}") for a in POS))
+    lists = spread.join(left.select(*keys).distinct(), keys).withColumn("part", F.pmod(F.xxhash64("uid"), F.lit(parts)))
+    lists = lists.groupBy(*keys, "part").agg(F.collect_list(F.struct("uid", "is_ghost", *SHIFTS)).alias("listed"))
+    both = left.join(lists, keys).select("uid_i", F.explode("listed").alias("j"))
+    return both.where((F.col("uid_i") != F.col("j.uid")) | F.col("j.is_ghost")).select("uid_i", F.col("j.uid").alias("uid_j"), *(F.col(f"j.{a}").alias(a) for a in SHIFTS))
+
+
+def from_candidates(rows: DataFrame, couples: DataFrame, cutoff: float | None, lengths: Sequence[float], columns_i: Sequence[str] = (), columns_j: Sequence[str] = ()) -> DataFrame:
+    """The couples of :func:`cutoff_couples` from stored candidates and the rows' present places: two joins by uid, and the exact test (none without a cutoff)."""
     i, j = side(eligible(rows), "i", ["uid", *POS, *columns_i]), side(rows, "j", ["uid", *POS, "flags", *columns_j])
     out = couples.join(i, "uid_i").join(j, "uid_j")
     out = out.withColumns({f"{a}_j": F.col(f"{a}_j") + F.col(s) * F.lit(n) for a, s, n in zip(POS, SHIFTS, lengths, strict=True)})
@@ -200,7 +222,14 @@ def from_candidates(rows: DataFrame, couples: DataFrame, cutoff: float, lengths:
     d = _delta()
     out = out.withColumns({"dx": d.x, "dy": d.y, "dz": d.z}).drop(*SHIFTS)
     out = out.withColumn("rsq", F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy") + F.col("dz") * F.col("dz"))
-    return out.where(F.col("rsq") < cutoff * cutoff)
+    return out if cutoff is None else out.where(F.col("rsq") < cutoff * cutoff)
+
+
+def spheres_from_candidates(rows: DataFrame, couples: DataFrame, lengths: Sequence[float], columns_i: Sequence[str] = (), columns_j: Sequence[str] = ()) -> DataFrame:
+    """The couples of :func:`sphere_contacts` from stored candidates and the rows' present places."""
+    out = from_candidates(rows, couples, None, lengths, [*columns_i, "radius"], [*columns_j, "radius"])
+    reach = F.col("radius_i") + F.col("radius_j")
+    return _touching(out.where(F.col("rsq") < reach * reach))
 
 
 def moved(rows: DataFrame, before: DataFrame) -> float:

@@ -197,22 +197,25 @@ class Pair:
         return rows
 
 
-def run_pair(df: DataFrame, right: DataFrame, kernel: Callable, schema: ParticleSchema, shapes: list[int], cutoff: float | None, symbols: dict[str, Any] | None = None, state: DataFrame | None = None, half: bool = False, max_radius: float | None = None, stored: DataFrame | None = None, lengths: tuple[float, float, float] = (0.0, 0.0, 0.0)) -> tuple[DataFrame, DataFrame | None]:
+def run_pair(df: DataFrame, right: DataFrame, kernel: Callable, schema: ParticleSchema, shapes: list[int], cutoff: float | None, symbols: dict[str, Any] | None = None, state: DataFrame | None = None, half: bool = False, max_radius: float | None = None, stored: dict[int, DataFrame] | None = None, lengths: tuple[float, float, float] = (0.0, 0.0, 0.0)) -> tuple[DataFrame, DataFrame | None]:
     """(df after a pair kernel, the contact state after it: None if the kernel didn't touch it).
 
     df is the local rows and right these with their images; both nested as
-    declared. stored are candidates of point masses, which save the range join.
+    declared. stored are candidates by shape of the right side, which save its range join.
     """
     names = [p for p in schema.properties if p not in ("uid", "flags", "shape")]
     place = [F.col(f"{schema.position}.{a}").alias(a) for a in "xyz"]
     normal = [F.col(f"normal.{a}").alias(f"normal_{a}") for a in "xyz"] if "normal" in schema.properties else []
     left, other = df.select("*", *place, *normal), right.select("*", *place, *normal)
-    if stored is not None:
-        joined = {POINT_MASS: interactions.from_candidates(left, stored, cutoff, lengths, [*names, "flags"], names)}
-        if half:
-            joined[POINT_MASS] = joined[POINT_MASS].where(F.col("is_ghost_j") | (F.col("uid_i") < F.col("uid_j")))
-    else:
-        joined = interactions.interactions(left, cutoff, shapes, other, [*names, "flags"], names, half, max_radius)
+    joined = {}
+    for shape, couples in (stored or {}).items():
+        if shape == POINT_MASS:
+            met = interactions.from_candidates(left, couples, cutoff, lengths, [*names, "flags"], names)
+        else:
+            met = interactions.spheres_from_candidates(left, couples, lengths, [*names, "flags"], names)
+        joined[shape] = met.where(F.col("is_ghost_j") | (F.col("uid_i") < F.col("uid_j"))) if half else met
+    if rest := [x for x in shapes if x not in joined]:
+        joined |= interactions.interactions(left, cutoff, rest, other, [*names, "flags"], names, half, max_radius)
     parts, states = [], []
     for shape, couples in joined.items():
         pair = Pair(couples, shape, schema, state, half)

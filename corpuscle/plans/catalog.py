@@ -287,6 +287,24 @@ def sphere_contacts(spark, sf_dir):
     return out.select("uid_i", "uid_j", *rows_of(depth=F.col("depth"), normal_x=F.col("normal_x"), point_x=F.col("point_x")))
 
 
+@query(SQL["sphere_contacts"])
+def sphere_list(spark, sf_dir):
+    """The contacts of spheres from candidates with a skin, stored before the spheres moved to their places."""
+    rows = pts(spark, sf_dir)
+    before = rows.withColumns({a: F.col(a) + F.col(f"v{a}") * 0.01 for a in XYZ})
+    stored = interactions.candidates(before, images.images(before, BOX, 0.0), 2 * _max_radius(rows) + 0.1)
+    out = interactions.spheres_from_candidates(rows, stored, BOX.lengths)
+    return out.select("uid_i", "uid_j", *rows_of(depth=F.col("depth"), normal_x=F.col("normal_x"), point_x=F.col("point_x")))
+
+
+@query(SQL["couples_cutoff"])
+def cell_list_couples(spark, sf_dir):
+    """Couples within the cutoff from the stored lists of cells."""
+    rows = pts(spark, sf_dir)
+    stored = interactions.cell_couples(rows, images.images(rows, BOX, 0.0), CUTOFF)
+    return interactions.from_candidates(rows, stored, CUTOFF, BOX.lengths).select("uid_i", "uid_j", *rows_of(rsq=F.col("rsq"), dx=F.col("dx")))
+
+
 def _max_radius(rows: DataFrame) -> float:
     """The largest radius of the rows; 1 without any."""
     return rows.agg(F.max("radius")).first()[0] or 1.0
@@ -692,6 +710,18 @@ def trajectory_3(spark, sf_dir):
     return out.select("uid", *(r5(F.col(f"position.{a}")).alias(a) for a in XYZ), r5(F.col("linear_velocity.x")).alias("vx"))
 
 
+@query("SELECT category, CAST(n AS BIGINT) AS n, true AS took_time FROM (VALUES ('all', 3), ('communication', 2), ('kernel', 7)) t(category, n)")
+def profiled_steps(spark, sf_dir):
+    """Timers of a real run of three steps, by category: how many there are, and whether they took time."""
+    sim = melt(spark, pts(spark, sf_dir), 2, Domain(BOX.low, BOX.high, (False, False, False)))
+    sim.enable_profiler()
+    sim.reneighbor_every(2)
+    sim.run()
+    sums = aggregates.timer_sums(sim.timers())
+    n = sim.timers().groupBy(F.regexp_extract("name", "^[^_:]*", 0).alias("category")).agg(F.count("*").alias("n"))
+    return n.join(sums, "category").select("category", "n", (F.col("ms") > 0).alias("took_time"))
+
+
 @query("""WITH e AS (SELECT user_id, CAST(date_trunc('day', ts) AS DATE) AS day, sum(value) AS total, count(*) AS n FROM events GROUP BY ALL)
  SELECT b.user_id, CAST(b.day AS VARCHAR) AS day, b.n, round(b.total, 6) + 0.0::DOUBLE AS total, a.user_id IS NULL AS is_new, round(coalesce(a.total, 0), 6) + 0.0::DOUBLE AS before FROM e b LEFT JOIN e a ON a.user_id = b.user_id AND a.day = b.day - 1""")
 def event_state_by_day(spark, sf_dir):

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import inspect
 import tempfile
 import time
+import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from typing import Any
@@ -12,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpuscle.model import POINT_MASS, SPHERE, Domain, ParticleSchema, struct_of
+from corpuscle.model import HALFSPACE, POINT_MASS, SPHERE, Domain, ParticleSchema, struct_of
 from corpuscle.operators import aggregates, contacts, images, interactions
 from corpuscle.operators.kernels import run_pair, run_row
 from corpuscle.sources import particles, sinks
@@ -24,17 +27,67 @@ def due(step: int, every: int) -> bool:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder that all executors share: spark.checkpoint.dir, or a folder of our own where it is unset."""
+    """The folder that all executors share: spark.checkpoint.dir.
+
+    Where it is unset, a temporary folder serves in local mode only, where driver and executors are one process.
+    """
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="corpuscle-steps-"))
+        given = sc.getConf().get("spark.checkpoint.dir")
+        if not given and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(given or tempfile.mkdtemp(prefix="corpuscle-steps-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+_roots: dict[str, str] = {}
+
+
+def _root(spark: SparkSession) -> str:
+    """This session's folder for steps; it goes when the driver ends."""
+    app = spark.sparkContext.applicationId
+    if app not in _roots:
+        root = _roots[app] = f"{shared_folder(spark).rstrip('/')}/steps-{uuid.uuid4().hex}"
+
+        def clean() -> None:
+            try:
+                _delete(spark, root)
+            except Exception:  # the session may have ended first
+                pass
+
+        atexit.register(clean)
+    return _roots[app]
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """df without its lineage, written to the checkpoint folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """df without its lineage: written to the shared folder, so that a lost executor loses nothing of it."""
+    path = f"{_root(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def forget(*tables: DataFrame | None) -> None:
+    """Deletes tables of :func:`cut` that a later one has replaced."""
+    for t in tables:
+        if path := getattr(t, "_cut_path", None):
+            _delete(t.sparkSession, path)
+
+
+class Array:
+    """A declared array as kernels see it: array[index] is an expression."""
+
+    def __init__(self, values: Sequence[float]) -> None:
+        self.column = F.array(*(F.lit(float(v)) for v in values))
+
+    def __getitem__(self, index):
+        return F.get(self.column, index if not isinstance(index, int) else F.lit(index))
 
 
 @dataclass(frozen=True)
@@ -59,7 +112,9 @@ class Simulation:
         self.partitioner: tuple[int, tuple[bool, bool, bool]] | None = None
         self.period, self.half, self.halo = 1, False, None
         self.thermo_every, self.vtk = 0, None
-        self.listed, self.lists = False, None
+        self.listed, self.per_cell, self.lists = False, False, None
+        self.visible: dict[str, Any] = {}
+        self.used: list[DataFrame] = []
         self.before: list[Stage] = []
         self.stages: list[Stage] = []
         self.setups: list[tuple[Callable, dict[str, Any]]] = []
@@ -87,6 +142,22 @@ class Simulation:
     def add_contact_property(self, name: str, kind: T.DataType, default: Any = 0.0) -> None:
         self.schema.add_contact(name, kind, default)
 
+    def add_var(self, name: str, value: Any) -> None:
+        """A scalar that any kernel with a parameter of that name gets; a later call changes it for the steps to come."""
+        self.visible[name] = value
+
+    add_symbol = add_temp_var = add_var
+
+    def add_static_array(self, name: str, values: Sequence[float]) -> None:
+        """An array of the driver that any kernel with a parameter of that name gets; it is a literal of the plan."""
+        self.visible[name] = Array(values)
+
+    add_array = add_static_array
+
+    def _symbols(self, kernel: Callable, given: dict[str, Any]) -> dict[str, Any]:
+        wanted = inspect.signature(kernel).parameters
+        return {k: v for k, v in self.visible.items() if k in wanted} | given
+
     def set_domain(self, bounds: list[float]) -> None:
         self.domain = Domain.of(bounds, self.periodic)
 
@@ -104,23 +175,30 @@ class Simulation:
             raise ValueError("the period is at least 1")
         self.period = n
 
-    def build_cell_lists(self, spacing: float) -> None:
-        """spacing is the width of the halo; bins of joins have the size of the largest range."""
-        self.halo = spacing
+    def build_cell_lists(self, spacing: float, store_neighbors_per_cell: bool = False) -> None:
+        """spacing is the width of the halo; bins of joins have the size of the largest range.
+
+        With store_neighbors_per_cell, the rows around each cell are stored as its list, which the rows inside read until the next rebuild.
+        """
+        self.halo, self.listed, self.per_cell = spacing, store_neighbors_per_cell, store_neighbors_per_cell
 
     def build_neighbor_lists(self, spacing: float) -> None:
         """Candidates within spacing (range and skin) are stored, and serve until the next rebuild or until a row has moved by half the skin.
 
-        They are kept for point masses; spheres and half-spaces are joined anew in each step.
+        They are kept for point masses and spheres; half-spaces are joined anew in each step.
         """
-        self.halo, self.listed = spacing, True
-
-    def _stored(self, rows: DataFrame, cutoff: float, step: int) -> DataFrame:
-        flat = rows.select("uid", "flags", *(F.col(f"{self.schema.position}.{a}").alias(a) for a in "xyz"))
-        skin = (self.halo or cutoff) - cutoff
-        if self.lists is None or due(step, self.period) or interactions.moved(flat, self.lists[1]) > skin / 2:
-            near = images.images(flat, self.domain, self.halo)
-            self.lists = (cut(interactions.candidates(flat, near, self.halo)), cut(flat))
+        self.halo, self.listed, self.per_cell = spacing, True, False
+
+    def _stored(self, rows: DataFrame, reach: float, step: int) -> dict[int, DataFrame]:
+        """Candidates by shape of the right side; reach is the largest range, without the skin."""
+        flat = rows.select("uid", "flags", "shape", *(F.col(f"{self.schema.position}.{a}").alias(a) for a in "xyz"))
+        if self.lists is None or due(step, self.period) or interactions.moved(flat, self.lists[1]) > (self.halo - reach) / 2:
+            if self.lists:
+                self.used += [*self.lists[0].values(), self.lists[1]]
+            flat = cut(flat)
+            near, left = images.images(flat, self.domain, self.halo), flat.where(F.col("shape") != HALFSPACE)
+            build = interactions.cell_couples if self.per_cell else interactions.candidates
+            self.lists = ({x: cut(build(left, near.where(F.col("shape") == x), self.halo)) for x in self.shapes if x != HALFSPACE}, flat)
         return self.lists[0]
 
     def compute_half(self) -> None:
@@ -174,7 +252,7 @@ class Simulation:
         for t in self.tables[1:]:
             out = out.unionByName(t)
         for kernel, symbols in self.setups:
-            out = run_row(out, kernel, symbols, fixed_too=True)
+            out = run_row(out, kernel, self._symbols(kernel, symbols), fixed_too=True)
         return out
 
     def _timed(self, step: int, name: str, began: float) -> None:
@@ -200,49 +278,75 @@ class Simulation:
 
     def step(self, rows: DataFrame, state: DataFrame | None, step: int) -> tuple[DataFrame, DataFrame | None]:
         """One step: pre-step kernels, exchange, images, volatile properties to zero, kernels; contacts that weren't touched go."""
+        mark = time.time()
+
+        def timed(name: str, rows: DataFrame) -> DataFrame:
+            """With the profiler, each part ends in a table, so that its time is its own."""
+            nonlocal mark
+            if self.profile:
+                self.used.append(rows := cut(rows))
+                self._timed(step, name, mark)
+                mark = time.time()
+            return rows
+
         for s in self.before:
             if step or not s.skip_first:
-                rows = run_row(rows, s.kernel, s.symbols)
+                rows = timed(f"kernel:{s.name}", run_row(rows, s.kernel, self._symbols(s.kernel, s.symbols)))
         if due(step, self.period):
-            rows = self._wrap(rows)
+            rows = timed("communication:exchange", self._wrap(rows))
         rows = rows.withColumns({p.name: struct_of(p.kind, 0) for p in self.schema.properties.values() if p.volatile})
         after = None
         for s in self.stages:
             if not step and s.skip_first:
                 continue
+            symbols = self._symbols(s.kernel, s.symbols)
             if s.pair:
                 halo = max(self.halo or 0.0, s.cutoff or 0.0)
-                radius = rows.where(F.col("shape") == SPHERE).agg(F.max("radius")).first()[0] if SPHERE in self.shapes else None
-                if radius:
-                    halo = max(halo, 2 * radius)
-                if self.listed and self.shapes == [POINT_MASS] and self.period > 1 and s.cutoff and s.cutoff <= self.halo:
-                    rows = cut(rows)  # it is read for the candidates and for the couples
-                    rows, touched = run_pair(rows, rows, s.kernel, self.schema, self.shapes, s.cutoff, s.symbols, state, self.half, None, self._stored(rows, s.cutoff, step), self.domain.lengths)
+                radius = None
+                if SPHERE in self.shapes:
+                    self.used.append(rows := cut(rows))  # the largest radius is asked of a table, not of all that led to it
+                    radius = rows.where(F.col("shape") == SPHERE).agg(F.max("radius")).first()[0]
+                reach = max(s.cutoff or 0.0, 2 * (radius or 0.0))
+                halo = max(halo, 2 * (radius or 0.0))
+                if self.listed and self.period > 1 and 0 < reach <= self.halo:
+                    self.used.append(rows := cut(rows))  # it is read for the candidates and for the couples
+                    stored = self._stored(rows, reach, step)
+                    if self.profile:
+                        self._timed(step, "neighbors:lists", mark)
+                        mark = time.time()
+                    rows, touched = run_pair(rows, rows, s.kernel, self.schema, self.shapes, s.cutoff, symbols, state, self.half, radius, stored, self.domain.lengths)
                 else:
-                    rows, touched = run_pair(rows, self._with_images(rows, halo), s.kernel, self.schema, self.shapes, s.cutoff, s.symbols, state, self.half, radius)
+                    rows, touched = run_pair(rows, self._with_images(rows, halo), s.kernel, self.schema, self.shapes, s.cutoff, symbols, state, self.half, radius)
                 after = touched if after is None else after.unionByName(touched).dropDuplicates(contacts.KEY) if touched is not None else after
             else:
-                rows = run_row(rows, s.kernel, s.symbols)
+                rows = run_row(rows, s.kernel, symbols)
+            rows = timed(f"kernel:{s.name}", rows)
         return rows, after
 
+    def kept(self, rows: DataFrame, after: DataFrame | None, *old: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
+        """The tables of a step's particles and contacts; those that led to them are deleted."""
+        rows = cut(rows)
+        state = cut(after if after is not None else contacts.empty(self.spark, self.schema)) if self.history else None
+        forget(*old, *self.used)
+        self.used = []
+        return rows, state
+
     def run(self) -> DataFrame:
-        """Steps 0 to timesteps, both included; the particles after them."""
+        """Steps 0 to timesteps, both included; the particles after them. Only the last step's tables are left."""
         rows = cut(self.initial())
         state = contacts.empty(self.spark, self.schema) if self.history else None
         for step in range(self.timesteps + 1):
             began = time.time()
-            rows, after = self.step(rows, state, step)
-            rows = cut(rows)
-            if self.history:
-                state = cut(after if after is not None else contacts.empty(self.spark, self.schema))
+            rows, state = self.kept(*self.step(rows, state, step), rows, state)
             if self.profile:
-                self._timed(step, "step", began)
+                self._timed(step, "all", began)
             if self.thermo_every and due(step, self.thermo_every):
                 flat = rows.select("mass", "flags", *(F.col(f"linear_velocity.{a}").alias(f"v{a}") for a in "xyz"))
                 r = aggregates.thermo(flat, self.domain.volume).first()
                 self.thermo_rows.append((step, r.temperature, r.pressure))
             if self.vtk and sinks.vtk_due(step, self.vtk[1]):
-                sinks.write_vtk(rows, f"{self.vtk[0]}_{step}.vtk", self.schema.position)
+                ghosts = self._with_images(rows, self.halo or 0.0).where("is_ghost")
+                sinks.write_vtk_step(rows, ghosts, self.vtk[0], step, self.schema.position)
         self.particles, self.state = rows, state
         return rows
 
@@ -257,7 +361,8 @@ class Simulation:
         return self.spark.createDataFrame(self.thermo_rows, "step int, temperature double, pressure double")
 
     def timers(self) -> DataFrame:
+        """(step, name, ms) of each part of each step, with the profiler; :func:`corpuscle.operators.aggregates.timer_sums` adds them up by category."""
         return self.spark.createDataFrame(self.timings, "step int, name string, ms double")
 
 
-__all__ = ["Simulation", "Stage", "cut", "due", "shared_folder"]
+__all__ = ["Array", "Simulation", "Stage", "cut", "due", "forget", "shared_folder"]

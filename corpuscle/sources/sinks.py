@@ -18,6 +18,12 @@ def vtk_due(step: int, every: int) -> bool:
     return every == 0 or step % every == 0
 
 
+def write_vtk_step(rows: DataFrame, ghosts: DataFrame, prefix: str, step: int, position: str = "position", rank: int = 0) -> None:
+    """Two files of a step, of the local rows and of the images: prefix_local_rank_step.vtk and prefix_ghost_rank_step.vtk."""
+    write_vtk(rows, f"{prefix}_local_{rank}_{step}.vtk", position)
+    write_vtk(ghosts, f"{prefix}_ghost_{rank}_{step}.vtk", position)
+
+
 def write_vtk(rows: DataFrame, path: str, position: str = "position") -> None:
     """An ASCII VTK file of the points with their masses at 8 decimals, without infinite rows, in the order of uid.
 

@@ -109,20 +109,24 @@ def test_melt_keeps_energy_bounded_and_stream_equals_batch(spark, lattice, tmp_p
 
     batch = sim(2)
     got = batch.run()
-    assert got.count() == 256 and len(batch.thermo_rows) == 3 and batch.timers().count() == 3
+    assert got.count() == 256 and len(batch.thermo_rows) == 3 and batch.timers().where("name = 'all'").count() == 3
     assert all(0.5 < t < 2.0 for _, t, _ in batch.thermo_rows)
-    text = (tmp_path / "melt_2.vtk").read_text()
-    assert "POINTS 256 double" in text and not (tmp_path / "melt_1.vtk").exists()
+    text = (tmp_path / "melt_local_0_2.vtk").read_text()
+    assert "POINTS 256 double" in text and not (tmp_path / "melt_local_0_1.vtk").exists() and "POINTS" in (tmp_path / "melt_ghost_0_2.vtk").read_text()
 
     steps = tmp_path / "steps"
     for k in range(3):
         spark.createDataFrame([(k,)], "step int").coalesce(1).write.mode("append").json(str(steps))
-    stepped = SteppedSimulation(sim(2))
+    stepped = SteppedSimulation(sim(2), str(tmp_path / "kept"))
     q = stepped.start(spark.readStream.schema("step int").json(str(steps)), str(tmp_path / "checkpoint"))
     q.processAllAvailable()
     q.stop()
     assert stepped.done == 2
-    a, b = ({r.uid: r.position for r in x.collect()} for x in (got, stepped.rows))
+    again = SteppedSimulation(sim(2), str(tmp_path / "kept"))  # after a restart
+    assert again.done == 2
+    again.batch(spark.createDataFrame([(1,), (2,)], "step int"), 0)
+    assert again.done == 2 and again.rows.count() == 256
+    a, b = ({r.uid: r.position for r in x.collect()} for x in (got, again.rows))
     assert all(abs(a[u].x - b[u].x) < 1e-9 for u in a)
 
 
@@ -255,11 +259,33 @@ def test_stored_lists_equal_fresh_joins(spark, lattice):
         sim.add_feature_property("type", "sigma6", [1.0])
         sim.set_domain([*box.low, *box.high])
         sim.add_rows(rows, {"position": ("x", "y", "z"), "linear_velocity": ("vx", "vy", "vz")})
-        (sim.build_neighbor_lists if listed else sim.build_cell_lists)(2.8)
+        if listed == "cells":
+            sim.build_cell_lists(2.8, store_neighbors_per_cell=True)
+        else:
+            (sim.build_neighbor_lists if listed else sim.build_cell_lists)(2.8)
         sim.reneighbor_every(20)
         sim.compute(physics.first_half, symbols={"dt": 0.01}, pre_step=True, skip_first=True)
         sim.compute(physics.lennard_jones, 2.5)
         return {r.uid: tuple(r.position) for r in sim.run().collect()}
 
-    a, b = positions(True), positions(False)
-    assert set(a) == set(b) and all(a[u] == pytest.approx(b[u], abs=1e-9) for u in a)
+    b = positions(False)
+    for listed in (True, "cells"):
+        a = positions(listed)
+        assert set(a) == set(b) and all(a[u] == pytest.approx(b[u], abs=1e-9) for u in a)
+
+
+def test_variables_and_arrays_in_kernels(spark, lattice):
+    rows, box = lattice
+    sim = Simulation(spark, [2], timesteps=0)
+    sim.add_position("position")
+    sim.add_property("mass", REAL, 1.0)
+    sim.set_domain([*box.low, *box.high])
+    sim.add_rows(rows.select("uid", "x", "y", "z", "shape", "flags"), {"position": ("x", "y", "z")})
+    sim.add_var("factor", 3.0)
+    sim.add_static_array("table", [1.0, 5.0])
+
+    def scaled(p, factor, table):
+        p["mass"] = p["mass"] * factor + table[1]
+
+    sim.compute(scaled)
+    assert {r.mass for r in sim.run().select("mass").collect()} == {8.0}
