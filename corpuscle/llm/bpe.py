@@ -8,10 +8,10 @@ Decoding concatenates the byte strings of the vocabulary.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import re
 from collections.abc import Callable, Iterable, Iterator
-from heapq import heapify, heappop, heappush
 from itertools import chain, pairwise
 
 import pyarrow as pa
@@ -39,10 +39,10 @@ class Known(dict):
     anew when it has missed twice as often as it has entries.
     """
 
-    def __init__(self, work: Callable[[str], tuple]) -> None:
+    def __init__(self, work: Callable[[str], tuple[int, ...]]) -> None:
         self.work, self.missed = work, 0
 
-    def __missing__(self, key: str) -> tuple:
+    def __missing__(self, key: str) -> tuple[int, ...]:
         ids = self.work(key)
         if len(self) < CACHE:
             if len(key) <= 64:
@@ -70,9 +70,8 @@ class ByteBPE:
         self.byte_id = [vocab[letters[b]] for b in range(256)]
         self.strings: dict[int, bytes] = {i: bytes(back[c] for c in s) for s, i in vocab.items() if all(c in back for c in s)}
         couples = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
-        # (left id, right id), as one int: rank and the id of the joined symbol, as one int
-        self.merges = {vocab[x] << 20 | vocab[y]: rank << 20 | vocab[x + y] for rank, (x, y) in enumerate(couples)}
-        self.first = [self.merges.get(self.byte_id[x] << 20 | self.byte_id[y]) for x in range(256) for y in range(256)]
+        # (left id, right id), as one int: rank and the id of the joined symbol
+        self.merges = {vocab[x] << 20 | vocab[y]: (rank, vocab[x + y]) for rank, (x, y) in enumerate(couples)}
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in spec["added_tokens"]):
             raise ValueError("added tokens with word or space options aren't supported")
@@ -82,57 +81,53 @@ class ByteBPE:
         self.inner_space = re.compile(r"\s (?!\S)").search
         self.cache = Known(lambda word: self.merge(word.encode()))
         self.words = Known(lambda word: self.chunk(f" {word}"))
-        # of a word (with its space) and of a pre-token: number of ids, the ids as text, and their strings
-        self.word_forms = Known(self.word_form)
-        self.forms = Known(lambda word: self.form(self.merge(word.encode())))
-
-    def form(self, ids: tuple[int, ...]) -> tuple[int, str, bytes]:
-        return len(ids), ",".join(map(str, ids)), b"".join(map(self.strings.__getitem__, ids))
-
-    def word_form(self, word: str) -> tuple[int, str, bytes]:
-        first, *rest = self.split(f" {word}")
-        if not rest:
-            return self.form(self.merge(first.encode()))
-        head = self.word_forms[first[1:]] if first[0] == " " and len(first) > 1 else self.forms[first]
-        n, ids, strings = zip(head, *map(self.forms.__getitem__, rest), strict=True)
-        return sum(n), ",".join(ids), b"".join(strings)
 
     def forget(self) -> None:
-        """Empties the memories: workers outlive their tasks."""
-        for known in (self.cache, self.words, self.word_forms, self.forms):
+        """Empties the memories, when another operator's task begins in this worker."""
+        for known in (self.cache, self.words):
             known.clear()
             known.missed = 0
 
     def merge(self, data: bytes) -> tuple[int, ...]:
         """The ids of one pre-token."""
-        n = len(data)
         ids = [*map(self.byte_id.__getitem__, data)]
+        n = len(ids)
         if n == 1:
             return (ids[0],)
-        # an entry is rank, joined symbol and left position in one int; ties go to the leftmost
-        first = self.first
-        heap = [got << 32 | i for i, (x, y) in enumerate(pairwise(data)) if (got := first[x << 8 | y]) is not None]
+        merges = self.merges.get
+        # an entry is rank and left position in one int; ties go to the leftmost
+        heap = [got[0] << 32 | i for i, got in enumerate(map(merges, [x << 20 | y for x, y in pairwise(ids)])) if got is not None]
         if not heap:
             return tuple(ids)
-        heapify(heap)
-        merges, after, before = self.merges.get, [*range(1, n + 1)], [*range(-1, n)]
-        ids.append(-1)  # the end: no merge knows it
+        heapq.heapify(heap)
+        after = list(range(1, n + 1))
+        before = list(range(-1, n - 1))
+        pop, push = heapq.heappop, heapq.heappush
         while heap:
-            top = heappop(heap)
+            top = pop(heap)
             i = top & 0xFFFFFFFF
             left = ids[i]
+            if left < 0:
+                continue
             j = after[i]
-            if left < 0 or merges(left << 20 | ids[j]) != top >> 32:
+            if j >= n:
+                continue
+            got = merges(left << 20 | ids[j])
+            if got is None or got[0] != top >> 32:
                 continue  # stale: one of the two has changed since
-            ids[i] = new = top >> 32 & 0xFFFFF
+            ids[i] = new = got[1]
             ids[j] = -1
-            after[i] = k = after[j]
-            before[k] = i
-            if (got := merges(new << 20 | ids[k])) is not None:
-                heappush(heap, got << 32 | i)
+            k = after[i] = after[j]
+            if k < n:
+                before[k] = i
+                got = merges(new << 20 | ids[k])
+                if got is not None:
+                    push(heap, got[0] << 32 | i)
             h = before[i]
-            if h >= 0 and (got := merges(ids[h] << 20 | new)) is not None:
-                heappush(heap, got << 32 | h)
+            if h >= 0:
+                got = merges(ids[h] << 20 | new)
+                if got is not None:
+                    push(heap, got[0] << 32 | h)
         return tuple([x for x in ids if x >= 0])
 
     def chunk(self, text: str) -> tuple[int, ...]:
@@ -152,27 +147,6 @@ class ByteBPE:
         del words[0]
         return chain(head, chain.from_iterable(map(self.words.__getitem__, words)))
 
-    def digest(self, text: str) -> tuple[int, str, bytes]:
-        """How many ids encode gives, the ids in decimals with commas, and the bytes that decode gives: put together from those of the words."""
-        if self.added_re is None or not any(t in text for t in self.added):
-            parts = [text]
-        else:
-            parts = self.added_re.split(text)
-        found: list[tuple[int, str, bytes]] = []
-        for part in parts:
-            if part in self.added:
-                found.append(self.form((self.added[part],)))
-            elif self.inner_space(part):
-                found += map(self.forms.__getitem__, self.split(part))
-            else:
-                words = part.split(" ")
-                found += map(self.forms.__getitem__, self.split(words[0]))
-                found += map(self.word_forms.__getitem__, words[1:])
-        if not found:
-            return 0, "", b""
-        n, ids, strings = zip(*found, strict=True)
-        return sum(n), ",".join(ids), b"".join(strings)
-
     def encode(self, text: str) -> list[int]:
         if self.added_re is None or not any(t in text for t in self.added):
             return list(self.plain(text))
@@ -254,12 +228,15 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(source.value)
+        strings = bpe.strings.__getitem__
+        names = {i: str(i) for i in bpe.strings}.__getitem__
         for batch in batches:
             n, enc, dec = [], [], []
             for t in column(batch, "text"):
-                count, ids, raw = bpe.digest(t.as_py() or "")
-                n.append(count)
-                enc.append(hashlib.sha256(ids.encode()).hexdigest())
+                ids = bpe.encode(t.as_py() or "")
+                n.append(len(ids))
+                enc.append(hashlib.sha256(",".join(map(names, ids)).encode()).hexdigest())
+                raw = b"".join(map(strings, ids))
                 dec.append(hashlib.sha256(raw.decode("utf-8", "replace").encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(n, pa.int64()), pa.array(enc), pa.array(dec)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 

@@ -106,7 +106,8 @@ def test_bpe_equals_library(spark, odd):
     texts += [r[0] for r in duckdb.sql(f"SELECT text FROM '{SF}/documents.parquet' LIMIT 200").fetchall()]
     for t, e in zip(texts, lib.encode_batch(texts, add_special_tokens=False), strict=True):
         assert mine.encode(t) == e.ids, t
-        assert mine.digest(t) == (len(e.ids), ",".join(map(str, e.ids)), t.encode())
+    mine.forget()
+    assert mine.encode("again and again") == lib.encode("again and again", add_special_tokens=False).ids
         assert mine.decode(e.ids) == lib.decode(e.ids, skip_special_tokens=False) == t
     ids = bpe.encode(odd, tokenizer_path())
     back = bpe.decode(ids.withColumn("was", F.coalesce("text", F.lit(""))), tokenizer_path(), out="back")
