@@ -499,7 +499,8 @@ def test_near_duplicate_stage_equals_brute_force(spark, monkeypatch):
     want, links = brute_groups({r.doc_id: r.text for r in both.collect()})
     assert links > 40
     monkeypatch.setattr(resemblance, "COUPLES", 500)
-    for common, first in ((4, 32), (10**9, 10**9), (10**9, 32)):  # neither the order of shingles nor the short prefixes change a group
+    for common, first, crowd in ((4, 32, 0), (10**9, 10**9, 8), (10**9, 32, 8)):  # neither the order of shingles, the short prefixes nor the couples that go first change a group
+        monkeypatch.setattr(resemblance, "CROWD", crowd)
         monkeypatch.setattr(resemblance, "COMMON", common)
         monkeypatch.setattr(resemblance, "FIRST", first)
         got = {r.doc_id: r.component_id for r in resemblance.groups(both).collect()}
