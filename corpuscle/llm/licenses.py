@@ -3,11 +3,15 @@
 DataFrame functions only. A text is normalised to lower-case ASCII words. The
 coefficient is taken over bags of word bigrams: 2 * common / (a + b), where a
 segment of n words has n - 1. Segments are each line, the whole text, and
-windows of a template's own size: a window is laid wherever at least a tenth
-of the bigrams that the template holds once fall into their places, so that a
-licence is found inside a longer text and over any lines. Size bounds prune the templates
-for lines and whole texts (a coefficient of d needs d/(2-d) <= a/b <= (2-d)/d).
-Texts that hold none of STEMS are not looked at: licences speak of licences.
+every window of a template's own size, cut at the ends of the text.
+
+A window's common bigrams are a sum over the places where a template's bigrams
+are: a place counts for all windows that hold it, but not the b places before it
+of the same bigram, of which the template has b. These windows are one after the
+other, so that a running sum over their ends gives every window at the price of
+a sort. Size bounds prune the templates (a coefficient of d needs d/(2-d) <= a/b
+<= (2-d)/d). By the same bound a text must hold so many of a template's bigrams
+that some words can't all be missing; texts without any of these aren't cut up.
 """
 
 from __future__ import annotations
@@ -18,15 +22,15 @@ import re
 from collections import Counter
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuscle.llm.shared import written
 
 MIN_DICE = 0.8
-#: A window is looked at if the VOTES-th part of a template's single bigrams are in their places.
-VOTES = 10
-STEMS = ("licen", "copyright", "warrant", "permission", "public domain", "rights reserved")
+#: Parts of words that a text is asked for first, and words that it isn't asked for unless nothing else is left. No result depends on either.
+STEMS = ("licen", "copyright", "warrant", "permission", "reserved")
+FREQUENT = frozenset("also been each from have into more must only other some such that their them then these they this those under used what when where which will with without work would your".split())
 #: Full texts, a file each.
 TEXTS = os.path.join(os.path.dirname(os.path.abspath(__file__)), "texts")
 FILES = {"Apache-2.0": "Apache-2.0", "GPL-2.0": "GPL-2", "GPL-3.0": "GPL-3", "LGPL-2.1": "LGPL-2.1", "LGPL-3.0": "LGPL-3", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0", "Artistic-1.0": "Artistic"}
@@ -85,10 +89,39 @@ def bounds(m: int, least: float) -> tuple[int, int]:
     return math.ceil(m * least / (2 - least) - 1e-9), math.floor(m * (2 - least) / least + 1e-9)
 
 
+def needed_parts(templates: list[list[str]], least: float) -> list[list[str]]:
+    """Parts of words for each template, one of which a segment must hold if its coefficient reaches least: the bigrams that have one are more than can be missing. Few parts serve all templates."""
+    both = [list(zip(w, w[1:], strict=False)) for w in templates]
+    spare = [len(x) - bounds(len(x), least)[0] for x in both]
+    weight: Counter = Counter()
+    for x in templates:
+        for w in x:
+            weight[w] += 1 / len(x)
+    words = sorted(weight, key=lambda w: (-weight[w], w))
+    found: list[list[str]] = [[] for _ in templates]
+    covered: list[set[int]] = [set() for _ in templates]
+    for some in (STEMS, [w for w in words if len(w) > 4 and w not in FREQUENT][:150], words):
+        left = {w for x, c, s in zip(templates, covered, spare, strict=True) if len(c) <= s for w in x}
+        holds = {}
+        for x in sorted(x for x in some if x in left or x in STEMS):
+            have = {w for w in words if x in w}
+            holds[x] = {k: got for k, grams in enumerate(both) if (got := {j for j, g in enumerate(grams) if not have.isdisjoint(g)})}
+        while open_ := [k for k in range(len(templates)) if len(covered[k]) <= spare[k]]:
+            gain = {x: sum(min(len(at.get(k, set()) - covered[k]) / (spare[k] + 1 - len(covered[k])), 1) for k in open_) for x, at in holds.items()}
+            best = max(gain, key=lambda x: (gain[x], len(x), x), default=None)
+            if best is None or not gain[best]:
+                break
+            for k in open_:
+                if new := holds[best].get(k, set()) - covered[k]:
+                    covered[k] |= new
+                    found[k].append(best)
+    return found
+
+
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float = MIN_DICE) -> DataFrame:
     """(doc_id, license, dice) of docs (doc_id, text): the best coefficient of each licence that reaches least in a segment.
 
-    Null texts and ids match nothing, nor do empty texts and those without a stem; repeated rows give their
+    Null texts and ids match nothing, nor do empty texts; repeated rows give their
     matches once, and texts of one id add up. Long texts take a row for each bigram that a template holds, and no more.
     Templates of a single word have no bigram and aren't accepted. Other columns of docs are ignored.
     """
@@ -96,40 +129,57 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float
     words = templates_of(templates)
     table, names = [], list(words)
     grams: dict[tuple[str, str], int] = {}
-    for k, w in enumerate(words.values()):
+    asked: dict[str, int] = {}  # the fewest characters of a text in which the part tells anything
+    held: set[str] = set()
+    for k, (w, parts) in enumerate(zip(words.values(), needed_parts(list(words.values()), least), strict=True)):
         both = list(zip(w, w[1:], strict=False))
-        count = Counter(both)
-        single = {g: j for j, g in enumerate(both) if count[g] == 1}
         low, high = bounds(len(both), least)
-        table += [(" ".join(g), grams.setdefault(g, len(grams)), k, b, single.get(g), len(both), -(-len(single) // VOTES) or 1, low, high) for g, b in count.items()]
-    known = F.broadcast(spark.createDataFrame(table, "gram string, id int, k int, b int, place int, m int, votes int, low int, high int"))  # as many rows as the templates have bigrams
+        table += [(" ".join(g), grams.setdefault(g, len(grams)), k, b, len(both), low, high) for g, b in Counter(both).items()]
+        held |= {x for x in w if any(y in x for y in parts)}
+        for x in parts:
+            asked[x] = min(asked.get(x, 1 << 30), 2 * low + 1)
+    known = F.broadcast(spark.createDataFrame(table, "gram string, id int, k int, b int, m int, low int, high int"))  # as many rows as the templates have bigrams
 
     # explode keeps what it makes: without it, the optimizer would repeat an expression in each of its uses
     rows = docs.where("doc_id is not null and text is not null").select("doc_id", F.monotonically_increasing_id().alias("row"), F.explode(F.array(F.lower("text"))).alias("t"))
-    rows = rows.where(reduce(lambda a, b: a | b, (F.col("t").contains(x) for x in STEMS)))
+    by_size: dict[int, list[str]] = {}
+    for x, size in sorted(asked.items()):
+        if not any(y != x and y in x and asked[y] <= size for y in asked):  # else y tells as much
+            by_size.setdefault(size, []).append(x)
+    any_of = lambda tests: reduce(lambda a, b: a | b, tests)
+    rows = rows.where(any_of((F.length("t") >= size) & any_of(F.col("t").contains(x) for x in some) for size, some in by_size.items()))
     lines = F.transform(F.split("t", "\n"), lambda x: F.filter(F.split(F.regexp_replace(x, "[^a-z0-9]+", " "), " "), lambda w: w != ""))
     rows = rows.select("doc_id", "row", F.explode(F.array(lines)).alias("l"))
     rows = rows.select("doc_id", "row", F.explode(F.array(F.struct(F.flatten("l").alias("w"), F.flatten(F.transform("l", lambda x, i: F.array_repeat(F.struct(i.alias("i"), F.size(x).alias("n")), F.size(x)))).alias("at")))).alias("y"))
-    rows = rows.where(F.size("y.w") > 1)
+    rows = rows.where((F.size("y.w") > 1) & F.arrays_overlap("y.w", F.array(*(F.lit(x) for x in sorted(held)))))
     gram = F.transform(F.sequence(F.lit(0), F.size("y.w") - 2), lambda p: F.struct(p.alias("p"), F.concat_ws(" ", F.get("y.w", p), F.get("y.w", p + 1)).alias("gram"), F.when(F.get("y.at", p)["i"] == F.get("y.at", p + 1)["i"], F.get("y.at", p)).alias("line")))
     rows = rows.select("doc_id", "row", (F.size("y.w") - 1).alias("n"), gram.alias("g")).select("doc_id", "row", "n", F.explode("g").alias("g"))
     hits = rows.select("doc_id", "row", "n", "g.p", "g.gram", F.col("g.line.i").alias("line"), (F.col("g.line.n") - 1).alias("line_n")).join(known, "gram").drop("gram")
-    hits = written(hits, "bigrams")
-
-    key = ["doc_id", "row", "k", "m"]
-    dice = lambda size: (2 * F.sum(F.least("a", "b")) / (size + F.col("m"))).alias("dice")
-
-    def coefficient(found: DataFrame, size: str, *more: str) -> DataFrame:
-        """dice of each segment, whose bigrams are the rows of found and whose size is in the column size."""
-        common = found.groupBy(*key, *more, size, "id", "b").agg(F.count("*").alias("a"))
-        return common.groupBy(*key, *more, size).agg(dice(F.col(size))).where(F.col("dice") >= least).select("doc_id", "k", "dice")
-
-    whole = coefficient(hits.where("n between low and high"), "n")
-    by_line = coefficient(hits.where("line_n between low and high"), "line_n", "line")
-    laid = hits.where("place is not null").groupBy(*key, "n", (F.col("p") - F.col("place")).alias("start"), "votes").agg(F.count("*").alias("c")).where("c >= votes")
-    laid = laid.select(*key, "start", (F.least(F.col("start") + F.col("m"), "n") - F.greatest("start", F.lit(0))).alias("size"), F.explode(F.array(F.floor(F.col("start") / F.col("m")), F.floor(F.col("start") / F.col("m")) + 1)).alias("bucket"))
-    inside = hits.withColumn("bucket", F.floor(F.col("p") / F.col("m"))).join(laid, [*key, "bucket"]).where("p >= start and p < start + m")
-    windows = coefficient(inside, "size", "start")
+
+    key = ["doc_id", "row", "k", "m", "n", "low", "high"]
+    dice = lambda common, size: 2 * common / (size + F.col("m"))
+    reached = lambda found: found.where(F.col("dice") >= least).select("doc_id", "k", "dice")
+
+    bags = written(hits.groupBy(*key, "id", "b").agg(F.array_sort(F.collect_list(F.struct("p", "line", "line_n"))).alias("at")), "bigrams")
+    enough = bags.groupBy(*key).agg(F.sum(F.least(F.size("at"), "b")).alias("common")).where("common >= low")  # no segment has more than the text
+    whole = reached(enough.where("n between low and high").withColumn("dice", dice(F.col("common"), F.col("n"))))
+    bags = written(bags.join(enough.select("row", "k"), ["row", "k"], "left_semi"), "enough")
+
+    in_line = bags.select(*key, "id", "b", F.explode("at").alias("h")).where("h.line is not null and h.line_n between low and high")
+    in_line = in_line.groupBy(*key, "id", "b", "h.line", "h.line_n").agg(F.count("*").alias("a")).groupBy(*key, "line", "line_n").agg(F.sum(F.least("a", "b")).alias("common"))
+    by_line = reached(in_line.withColumn("dice", dice(F.col("common"), F.col("line_n"))))
+
+    def ends(x: Column, i: Column) -> Column:
+        """The first start of a window for which this place counts, and the first past the last."""
+        free = F.greatest(x["p"] - F.col("m"), F.when(i >= F.col("b"), F.get("at", i - F.col("b"))["p"]))
+        return F.array(F.struct((free + 1).alias("start"), F.lit(1).alias("d")), F.struct((x["p"] + 1).alias("start"), F.lit(-1).alias("d")))
+
+    steps = bags.select(*key, F.explode(F.flatten(F.transform("at", ends))).alias("e")).groupBy(*key, "e.start").agg(F.sum("e.d").alias("d"))
+    order = Window.partitionBy(*key).orderBy("start")
+    steps = steps.select("doc_id", "k", "m", "n", "low", "start", F.sum("d").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("common"), (F.lead("start").over(order) - 1).alias("last")).where("common >= low")
+    size = lambda start: F.least(start + F.col("m"), F.col("n")) - F.greatest(start, F.lit(0))
+    windows = reached(steps.withColumn("dice", dice(F.col("common"), F.least(size(F.col("start")), size(F.col("last"))))))  # sizes rise, then fall: the least is at an end
+
     found = whole.unionByName(by_line).unionByName(windows)
     label = F.element_at(F.array(*(F.lit(n.split("#")[0]) for n in names)), F.col("k") + 1)
     return found.select("doc_id", label.alias("license"), "dice").groupBy("doc_id", "license").agg(F.max("dice").alias("dice"))
@@ -147,27 +197,29 @@ def documents(docs: DataFrame, templates: dict[str, str] | None = None, least: f
 def sql(templates: dict[str, str] | None = None, least: float = MIN_DICE) -> str:
     """The same over whole tables, without the size bounds."""
     values = ", ".join(f"('{k}', '{' '.join(w)}')" for k, w in templates_of(templates).items())
-    stems = " OR ".join(f"contains(lower(text), '{x}')" for x in STEMS)
     return f"""
 WITH templates(k, norm) AS (VALUES {values}),
 tw AS (SELECT k, string_split(norm, ' ') AS w FROM templates),
 tp AS (SELECT k, len(w) - 1 AS m, unnest(range(1, len(w))) AS j, w FROM tw),
-tg AS (SELECT k, m, j - 1 AS j, w[j] || ' ' || w[j + 1] AS gram FROM tp),
-tc AS (SELECT k, m, gram, count(*) AS b, CASE WHEN count(*) = 1 THEN min(j) END AS place FROM tg GROUP BY ALL),
-tv AS (SELECT k, greatest(CAST(ceil(count(place) / {VOTES}) AS BIGINT), 1) AS votes FROM tc GROUP BY k),
-docs AS (SELECT doc_id, row_number() OVER () AS r, list_transform(string_split(lower(text), chr(10)), lambda l: list_filter(string_split(regexp_replace(l, '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> '')) AS l FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL AND ({stems})),
+tg AS (SELECT k, m, w[j] || ' ' || w[j + 1] AS gram FROM tp),
+tc AS (SELECT k, m, gram, count(*) AS b FROM tg GROUP BY ALL),
+docs AS (SELECT doc_id, row_number() OVER () AS r, list_transform(string_split(lower(text), chr(10)), lambda l: list_filter(string_split(regexp_replace(l, '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> '')) AS l FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
 flat AS (SELECT doc_id, r, flatten(l) AS w, flatten(list_transform(l, lambda x, i: list_transform(x, lambda y: i))) AS nth, list_transform(l, lambda x: len(x)) AS sizes FROM docs),
 places AS (SELECT doc_id, r, w, nth, sizes, len(w) - 1 AS n, unnest(range(1, len(w))) AS p FROM flat),
 dg AS (SELECT doc_id, r, n, p - 1 AS p, w[p] || ' ' || w[p + 1] AS gram, CASE WHEN nth[p] = nth[p + 1] THEN nth[p] END AS line, sizes[nth[p]] - 1 AS line_n FROM places),
-hits AS (SELECT * FROM dg JOIN tc USING (gram)),
-segments AS (
-  SELECT doc_id, r, k, m, n AS size, 'd' AS kind, 0 AS s, gram, b FROM hits
-  UNION ALL SELECT doc_id, r, k, m, line_n, 'l', line, gram, b FROM hits WHERE line IS NOT NULL
-  UNION ALL SELECT h.doc_id, h.r, h.k, h.m, least(start + h.m, h.n) - greatest(start, 0), 'w', start, h.gram, h.b
-    FROM (SELECT r, k, p - place AS start FROM hits JOIN tv USING (k) WHERE place IS NOT NULL GROUP BY r, k, p - place, votes HAVING count(*) >= votes) v
-    JOIN hits h ON h.r = v.r AND h.k = v.k AND h.p >= start AND h.p < start + h.m),
-counted AS (SELECT doc_id, r, k, m, size, kind, s, gram, b, count(*) AS a FROM segments GROUP BY ALL),
-dice AS (SELECT doc_id, string_split(k, '#')[1] AS license, 2.0::DOUBLE * sum(least(a, b)) / (size + m) AS dice FROM counted GROUP BY doc_id, r, k, m, size, kind, s),
+hits AS (SELECT *, row_number() OVER (PARTITION BY r, k, gram ORDER BY p) AS o FROM dg JOIN tc USING (gram)),
+bags AS (
+  SELECT doc_id, r, k, m, n AS size, 0 AS line, gram, b, count(*) AS a FROM hits GROUP BY ALL
+  UNION ALL SELECT doc_id, r, k, m, line_n, line, gram, b, count(*) FROM hits WHERE line IS NOT NULL GROUP BY ALL),
+counts AS (SELECT h.*, greatest(h.p - h.m, coalesce(g.p, h.p - h.m)) + 1 AS first FROM hits h LEFT JOIN hits g ON g.r = h.r AND g.k = h.k AND g.gram = h.gram AND g.o = h.o - h.b),
+ends AS (
+  SELECT doc_id, r, k, m, n, start, sum(d) AS d FROM (
+    SELECT doc_id, r, k, m, n, first AS start, 1 AS d FROM counts UNION ALL SELECT doc_id, r, k, m, n, p + 1, -1 FROM counts) GROUP BY ALL),
+steps AS (SELECT doc_id, k, m, n, start, sum(d) OVER w AS common, lead(start) OVER w - 1 AS last FROM ends WINDOW w AS (PARTITION BY r, k ORDER BY start)),
+windows AS (SELECT doc_id, k, m, n, common, unnest([start, last]) AS start FROM steps WHERE common > 0),
+dice AS (
+  SELECT doc_id, string_split(k, '#')[1] AS license, 2.0::DOUBLE * sum(least(a, b)) / (size + m) AS dice FROM bags GROUP BY doc_id, r, k, m, size, line
+  UNION ALL SELECT doc_id, string_split(k, '#')[1], 2.0::DOUBLE * common / (least(start + m, n) - greatest(start, 0) + m) FROM windows),
 found AS (SELECT doc_id, license, round(max(dice), 6) AS dice FROM dice WHERE dice >= {least!r} GROUP BY doc_id, license),
 per AS (SELECT doc_id, arg_min(license, (-dice, license)) AS license, max(dice) AS dice, string_agg(license, ',' ORDER BY license) AS licenses, count(*) AS n_licenses FROM found GROUP BY doc_id)
 SELECT d.doc_id, p.license, p.dice, coalesce(p.licenses, '') AS licenses, CAST(coalesce(p.n_licenses, 0) AS BIGINT) AS n_licenses

@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -402,6 +403,47 @@ def test_licenses_odd(spark, odd, none):
     assert "Python" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
+def brute_licenses(text, templates, least):
+    """licence -> the best coefficient over lines, the whole text and every window of a template's size."""
+    lines = [licenses.normal_words(x) for x in text.lower().split("\n")]
+    best = {}
+    for k, words in licenses.templates_of(templates).items():
+        want = Counter(zip(words, words[1:], strict=False))
+        m = sum(want.values())
+        segments = [list(zip(x, x[1:], strict=False)) for x in [*lines, [w for x in lines for w in x]]]
+        whole = segments[-1]
+        segments += [whole[max(s, 0) : s + m] for s in range(1 - m, len(whole))]
+        dice = max((2 * (Counter(x) & want).total() / (len(x) + m) for x in segments), default=0)
+        if dice >= least:
+            best[k.split("#")[0]] = max(dice, best.get(k.split("#")[0], 0))
+    return best
+
+
+def test_licenses_equal_brute_force(spark):
+    rng = np.random.default_rng(11)
+    words = [f"w{k}" for k in range(12)]
+    made = {f"t{k}": " ".join(rng.choice(words, n)) for k, n in enumerate((2, 3, 5, 9, 17, 40))} | {"MIT": licenses.TEMPLATES["MIT"], "MIT-notice": licenses.TEMPLATES["MIT-notice"], "MIT-notice#2": licenses.TEMPLATES["MIT-notice#2"]}
+    mit = licenses.TEMPLATES["MIT"].split()
+    parts = [mit[k : k + 14] for k in range(0, len(mit), 14)]
+    texts = ["Released under the MIT", "so it is released\nunder the mit", "a " * 30 + " ".join(w for p in parts[::-1] for w in p), " ".join(mit).replace("ermission", "ermit").replace("opyright", "laim").replace("ARRANT", "ORD")]
+    for k, t in enumerate([*made.values()] * 4):
+        w = t.split()
+        at = int(rng.integers(0, len(w)))
+        w = w[at:] + w[:at] if k % 2 else [x for x in w if rng.random() > 0.1]
+        w = [*rng.choice(words, rng.integers(0, 30)), *w, *rng.choice(words, rng.integers(0, 30))]
+        texts.append(" ".join(x + ("\n" if rng.random() < 0.1 else "") for x in w))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {(k, name): round(d, 9) for k, t in enumerate(texts) for name, d in brute_licenses(t, made, 0.8).items()}
+    assert {(0, "MIT-notice"), (1, "MIT-notice"), (2, "MIT"), (3, "MIT")} <= set(want) and len(want) > 30
+    assert {(r.doc_id, r.license): round(r.dice, 9) for r in licenses.scan(df, made).collect()} == want
+    documents = df.toPandas()  # noqa: F841
+    con = duckdb.connect()
+    con.register("documents", documents)
+    got = con.execute(licenses.sql(made)).fetchall()
+    assert sorted((r[0], r[1], r[2], r[3], r[4]) for r in got if r[4]) == sorted(tuple(r) for r in licenses.documents(df, made).collect() if r.n_licenses)
+    assert {r[0]: r[3] for r in got} == {k: ",".join(sorted(n for j, n in want if j == k)) for k in range(len(texts))}
+
+
 def test_pipeline_on_small_documents(spark):
     import corpus_pipeline as cp
 
