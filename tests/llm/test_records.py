@@ -550,6 +550,28 @@ def test_near_duplicate_stage_equals_brute_force(spark, monkeypatch):
     assert sorted(r.doc_id for r in cp.near_duplicates(spark, both, SF).collect()) == sorted({*want.values()})
 
 
+def test_near_duplicates_in_a_crowd(spark, monkeypatch):
+    """Edited copies of one text, most of them not alike, don't meet by the square of their number."""
+    rng = np.random.default_rng(5)
+    made = {}
+    for base, copies in ((150, 240), (90, 60)):
+        words = [f"v{int(x)}" for x in rng.integers(0, 400, base)]
+        for c in range(copies):
+            text = list(words)
+            for at in rng.integers(0, base - 8, c % 7):
+                text[at : at + 1] = [[f"v{rng.integers(400)}"], [], [f"v{rng.integers(400)}", text[at]]][int(rng.integers(3))]
+            made[len(made)] = " ".join(text)
+    made |= {len(made) + k: " ".join([*made[k].split()[:100], *(f"u{k}_{j}" for j in range(k))]) for k in range(60)}
+    want, links = brute_groups(made)
+    assert links > 1000 and len({*want.values()}) > 60
+    looked = []
+    joined = resemblance._joined
+    monkeypatch.setattr(resemblance, "_joined", lambda apart, *more: looked.append(apart.count()) or joined(apart, *more))
+    df = spark.createDataFrame(list(made.items()), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in resemblance.groups(df).collect()} == want
+    assert looked[0] < 1000, looked
+
+
 def test_resemblance_odd_rows(spark, odd, none):
     got = resemblance.groups(odd).collect()
     assert len(got) == odd.count()
