@@ -8,6 +8,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 import zstandard
 from pyspark.sql import functions as F
@@ -572,6 +573,44 @@ def test_near_duplicates_in_a_crowd(spark, monkeypatch):
     assert looked[0] < 1000, looked
 
 
+def test_sketches_bound_the_difference(monkeypatch):
+    rng = np.random.default_rng(4)
+    monkeypatch.setattr(resemblance, "CELLS_AT_ONCE", 40)  # several portions
+    pool = rng.integers(0, 1 << 63, 9000).astype(np.uint64)
+    sets = [np.unique(rng.choice(pool, n, replace=False)) for n in (1, 2, 63, 64, 65, 90, 128, 129, 700, 1023, 2100, 5000, 8000)]
+    sets += [np.unique(np.concatenate([x[: len(x) * 9 // 10], rng.choice(pool, len(x) // 20)])) for x in sets]
+    rows = pa.chunked_array([[resemblance.sketch(x) for x in some] for some in (sets[:5], sets[5:])], pa.binary())
+    left, right = (x.ravel() for x in np.indices((len(sets), len(sets))))
+    differ = resemblance.Sketches(rows).differ(left, right)
+    apart = np.array([len(np.setxor1d(sets[i], sets[j])) for i, j in zip(left, right, strict=True)])
+    assert (differ <= apart).all() and ((apart - differ) % 2 == 0).all() and (differ[left == right] == 0).all()
+    assert (differ > 0.3 * np.minimum(apart, 2048))[(apart > 20) & (np.abs(left - right) == 13)].all()
+
+
+def test_sharers_of_a_part_do_not_meet(spark, monkeypatch):
+    """Texts that share about half of their words, as one template has them, are no candidates; near copies among them are found."""
+    rng = np.random.default_rng(9)
+    made = {}
+    for _ in range(2):
+        part = [f"p{int(x)}" for x in rng.integers(0, 5000, 120)]
+        for _ in range(100):
+            made[len(made)] = " ".join([*part, *(f"o{int(x)}" for x in rng.integers(0, 10**6, 60))])
+        for k in range(40):  # near copies: two places changed
+            text = made[len(made) - 1 - int(rng.integers(60))].split()
+            text[130 + k], text[5] = "here", f"there{k}"
+            made[len(made)] = " ".join(text)
+    want, links = brute_groups(made)
+    assert links >= 80 and 200 <= len({*want.values()}) < 280
+    monkeypatch.setattr(resemblance, "COMMON", 10**9)
+    monkeypatch.setattr(resemblance, "FIRST", 10**9)
+    met = []
+    possible = resemblance._possible
+    monkeypatch.setattr(resemblance, "_possible", lambda couples: met.append(couples.count()) or possible(couples))
+    df = spark.createDataFrame(list(made.items()), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in resemblance.groups(df).collect()} == want
+    assert met[-1] < 2000, met
+
+
 def test_resemblance_odd_rows(spark, odd, none):
     got = resemblance.groups(odd).collect()
     assert len(got) == odd.count()
