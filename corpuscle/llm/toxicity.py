@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpuscle.llm.shared import column, lowest, tidy, written
+from corpuscle.llm.shared import column, lowest, release, tidy, written
 
 LETTERS, REACH, GAP = 32, 3, 0.6
 #: Labelled documents that are learned from, by hash of the id: a bounded sample.
@@ -42,6 +42,8 @@ SHARP, BOUND, TOP = 6.0, 1.5, 3
 EVIDENCE = 18.0
 #: Words kept with their scores in a worker.
 CACHE = 200_000
+#: Words, and rows of a matrix, that are worked on together: the driver trains, so it holds one matrix of all words and parts of others.
+PART = 512
 
 _LEET = str.maketrans("013457", "oieast")
 _SPACED = re.compile(r"(?<!\S)[^\W\d_](?:[\s.*_-]{1,3}[^\W\d_]){3,}(?!\w)")
@@ -130,11 +132,20 @@ def against(words: Sequence[str], marks: np.ndarray) -> np.ndarray:
 
 def kernel(words: Sequence[str], marks: np.ndarray, real: bool) -> np.ndarray:
     """The kernel of words with landmarks, normed by one or the other length."""
-    parts = []
-    for i in range(0, len(words), 1024):
-        some = words[i : i + 1024]
-        parts.append(against(some, marks) / lengths(some)[int(real)][:, None])
-    return np.vstack(parts)
+    out = np.empty((len(words), marks.shape[1]))
+    for i in range(0, len(words), PART):
+        some = words[i : i + PART]
+        out[i : i + PART] = against(some, marks) / lengths(some)[int(real)][:, None]
+    return out
+
+
+def mapped(words: Sequence[str], marks: np.ndarray, real: bool, root: np.ndarray, sharp: float | None = None) -> np.ndarray:
+    """The kernel of words with landmarks (its exponential, if sharp is given) times root, and a last column of ones."""
+    out = np.ones((len(words), root.shape[1] + 1))
+    for i in range(0, len(words), PART):
+        k = kernel(words[i : i + PART], marks, real)
+        out[i : i + PART, :-1] = (k if sharp is None else np.exp(sharp * (k - 1))) @ root
+    return out
 
 
 @dataclass
@@ -191,8 +202,7 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.
 
 
 def machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3) -> tuple[np.ndarray, float]:
-    """A linear machine with squared hinge loss, by Newton steps."""
-    x = np.hstack([x, np.ones((len(x), 1))])
+    """A linear machine with squared hinge loss, by Newton steps; the last column of x is the constant."""
     beta = np.zeros(x.shape[1])
     reg = np.full(x.shape[1], ridge)
     reg[-1] = 1e-9
@@ -204,9 +214,13 @@ def machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-
     for _ in range(30):
         slack = 1 - y * (x @ beta)
         on = slack > 0
-        xs, ws = x[on], weight[on]
-        grad = -2 * xs.T @ (ws * y[on] * slack[on]) + 2 * reg * beta
-        step = np.linalg.solve(2 * (xs * ws[:, None]).T @ xs + 2 * np.diag(reg), grad)
+        grad, bend = 2 * reg * beta, 2 * np.diag(reg)
+        for i in range(0, len(x), PART):
+            at = i + np.flatnonzero(on[i : i + PART])
+            xs, ws = x[at], weight[at]
+            grad -= 2 * xs.T @ (ws * y[at] * slack[at])
+            bend += 2 * (xs * ws[:, None]).T @ xs
+        step = np.linalg.solve(bend, grad)
         size = 1.0
         while size > 1e-4 and (then := loss(beta - size * step)) > now:
             size /= 2
@@ -235,9 +249,15 @@ def landmarks(toxic: list[str], clean: list[str]) -> tuple[str, ...]:
     return (*marks, *pick(clean, LANDMARKS - len(marks)))
 
 
-@lru_cache(maxsize=1)
-def columns(marks: tuple[str, ...]) -> np.ndarray:
-    return np.ascontiguousarray(vectors(marks).T)
+def spread(marks: tuple[str, ...]) -> np.ndarray:
+    """The landmarks' vectors as columns (42 MB)."""
+    out = np.empty((LETTERS**3, len(marks)), np.float32)
+    for i in range(0, len(marks), 32):
+        out[:, i : i + 32] = vectors(marks[i : i + 32]).T
+    return out
+
+
+columns = lru_cache(maxsize=1)(spread)
 
 
 def nystroem(kernel: np.ndarray) -> np.ndarray:
@@ -250,17 +270,17 @@ def nystroem(kernel: np.ndarray) -> np.ndarray:
 def fit_linear(toxic: list[str], clean: list[str]) -> Model:
     """The first machine, from witnesses and clean words (as letters): it lets the witnesses and their bent forms pass."""
     bends = sorted({b for i, w in enumerate(toxic) for b in bent(w, i)} - set(clean) - set(toxic))
-    z = columns(landmarks(toxic, clean))
+    z = spread(landmarks(toxic, clean))
     root = nystroem((z.T @ z).astype(np.float64))
-    short, real = lengths(clean)
-    clean = [w for w, much in zip(clean, real > 2 * short, strict=True) if not much]  # runs of one letter outweigh all others
+    much = lambda some: (lambda short, real: real > 2 * short)(*lengths(some))  # noqa: E731  runs of one letter outweigh all others
+    clean = [w for i in range(0, len(clean), PART) for w, out in zip(clean[i : i + PART], much(clean[i : i + PART]), strict=True) if not out]
     words = toxic + bends + clean
-    k = kernel(words, z, False)
     n = len(toxic) + len(bends)
     y = np.where(np.arange(len(words)) < n, 1.0, -1.0)
     weight = np.where(y > 0, 1.0 / n, 1.0 / len(clean)) * len(words) / 2
-    beta, bias = machine(k @ root, y, weight)
-    model = Model((z @ (root @ beta)).astype(np.float64), bias)
+    beta, bias = machine(mapped(words, z, False, root), y, weight)
+    at_marks = root @ beta
+    model = Model(np.concatenate([z[i : i + 4096] @ at_marks for i in range(0, len(z), 4096)]), bias)  # in double precision, and so in parts
     model.floor = float(np.quantile(sums(toxic + bends, model.weights) + bias, 0.02)) - 0.25
     return model
 
@@ -271,12 +291,11 @@ def fit_sharp(model: Model, toxic: dict[str, int], calm: dict[str, int]) -> None
     bends = sorted({b for i, w in enumerate(bad) for b in bent(w, i)} - set(calm) - set(toxic))
     marks = landmarks(bad, good)
     words = bad + bends + good
-    z = columns(marks)
+    z = spread(marks)
     root = nystroem(np.exp(SHARP * ((z.T @ z).astype(np.float64) - 1)))
-    k = np.exp(SHARP * (kernel(words, z, True) - 1))
     y = np.array([1.0] * (len(bad) + len(bends)) + [-1.0] * len(good))
     weight = np.array([math.sqrt(toxic[w]) for w in bad] + [0.3] * len(bends) + [math.sqrt(calm[w]) for w in good])
-    beta, model.bias2 = machine(k @ root, y, weight, 1e-2)
+    beta, model.bias2 = machine(mapped(words, z, True, root, SHARP), y, weight, 1e-2)
     model.marks, model.beta = marks, root @ beta
 
 
@@ -349,6 +368,7 @@ def train(docs: DataFrame, labels: DataFrame, toxic_sample: int = TOXIC_SAMPLE,
     y = (values[:, 0] == 1).astype(float)
     weight = np.where(y > 0, total[1] / n_toxic, total[0] / n_clean)
     model.final = logistic(features(values[:, 2:], values[:, 1]), y, weight / weight.mean())
+    release()
     return model
 
 

@@ -1,5 +1,7 @@
 """Language ID, toxicity, BPE, main text."""
 
+import tracemalloc
+
 import duckdb
 import numpy as np
 import pytest
@@ -66,6 +68,23 @@ def test_toxicity_tolerates_gaps():
     assert "idiot" in toxicity.words_of("you i d i o t there")
 
 
+def test_training_holds_little_memory():
+    """The driver trains: beside the landmarks (42 MB) and one matrix of the words (25 MB) it holds parts only, and keeps nothing of them."""
+    rng = np.random.default_rng(3)
+    word = lambda: "".join(chr(97 + int(x)) for x in rng.integers(0, 26, rng.integers(3, 12)))
+    bad = sorted({word() for _ in range(150)})
+    good = sorted({word() for _ in range(9000)} - set(bad))
+    toxicity.columns.cache_clear()
+    tracemalloc.start()
+    model = toxicity.fit_linear(bad, good)
+    toxicity.fit_sharp(model, {w: 20 for w in bad}, {w: 20 for w in good[:3000]})
+    kept, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert peak < 100e6 and kept < 10e6, (peak, kept)
+    x = toxicity.mapped(bad, toxicity.spread(model.marks), True, np.eye(len(model.marks)), toxicity.SHARP)
+    assert np.allclose(x[:, :-1] @ model.beta + model.bias2, (np.exp(toxicity.SHARP * (toxicity.kernel(bad, toxicity.columns(model.marks), True) - 1))) @ model.beta + model.bias2)
+
+
 def test_kernel_equals_brute_force():
     words = ["thth", "idiot", "a", "óóó", "banana"]
 
