@@ -1,9 +1,10 @@
 """Spatial bins: cells, occupancy, and range joins as equi-joins on cells.
 
-A range join sends each left row to the cells that its range reaches, eight at
-most, and meets the right rows of equal cell keys; an exact test follows.
-Catalyst sees an equi-join, so that it can hash, sort or split skewed keys as it
-likes; a theta join would be a Cartesian product.
+A range join sends each left row to the cells that its range reaches and meets
+the right rows of equal cell keys; an exact test follows. Cells are two ranges
+wide (eight are reached at most), or narrower where they would be crowded.
+Catalyst sees an equi-join, which it sorts, so that the rows of a cell lie
+together, and can split skewed keys of; a theta join would be a Cartesian product.
 """
 
 from __future__ import annotations
@@ -51,8 +52,12 @@ def flat_cell(domain: Domain, spacing: float, pos: Sequence[Column], flags: Colu
     return F.when(flags.bitwiseAND(F.lit(INFINITE)) != 0, F.lit(0)).otherwise((c[0] * dims[1] + c[1]) * dims[2] + c[2] + 1).cast("int")
 
 
+#: Cells beyond this count from the origin are one: where coordinates lie so far apart, no two of them are in range. It leaves room for neighbours in a long.
+FAR = 1 << 62
+
+
 def bins(pos: Sequence[Column], size: float) -> list[Column]:
-    return [F.floor(p / size).cast("long") for p in pos]
+    return [F.greatest(F.lit(-FAR), F.least(F.lit(FAR), F.floor(p / size).cast("long"))) for p in pos]
 
 
 #: Cells of a range join are WIDTH ranges wide. Above 2 a range reaches two cells of an axis at most: a left row travels
@@ -68,7 +73,7 @@ def reached(pos: Sequence[str], size: float, width: float) -> Column:
         raise ValueError("a range may reach two cells of an axis at most")
     choices: list[list[tuple[Column, Column]]] = []  # by axis: cell, and squared distance to it, for the own one and the near neighbour
     for p in map(F.col, pos):
-        own = F.floor(p / width)
+        own = bins([p], width)[0]
         part = p / width - own
         left = part < 0.5
         gap = F.when(left, part).otherwise(1.0 - part) - MARGIN
@@ -81,25 +86,53 @@ def reached(pos: Sequence[str], size: float, width: float) -> Column:
     return F.array(*cells)
 
 
-def range_join(left: DataFrame, right: DataFrame, pos_i: Sequence[str], pos_j: Sequence[str], size: float, test: Column, salt: int = 1, salt_by: str | None = None, width: float = WIDTH) -> DataFrame:
+#: Widths of cells in ranges. Narrow ones cost more copies of left rows and spare tests: 13.1, 4.9 and 2.5 for a couple in range.
+WIDTHS = (WIDTH, 1.0, 0.5)
+#: A copy of a left row costs about as much as so many exact tests.
+TRAVEL = 40.0
+
+
+def fitting_width(right: DataFrame, pos: Sequence[str], size: float) -> float:
+    """The width, in ranges, that costs least: by the right rows that a row has in its cell of the widest ones, counted over all rows."""
+    cells = right.groupBy(*bins([F.col(p) for p in pos], WIDTH * size)).agg(F.count("*").cast("double").alias("n"))
+    n = cells.agg(F.sum(F.col("n") * F.col("n")) / F.sum("n")).first()[0] or 0.0
+    copies = lambda w: 1 + 6 / w + 3 * math.pi / w**2 + 4 / 3 * math.pi / w**3
+    return min(WIDTHS, key=lambda w: copies(w) * (TRAVEL + n * (w / WIDTH) ** 3))
+
+
+def sent(rows: DataFrame, pos: Sequence[str], size: float, width: float) -> DataFrame:
+    """rows, each with the keys _cx.. of every cell, width wide, that holds a point within size of it."""
+    if width > 2 * size:
+        l = rows.select("*", F.explode(reached(pos, size, width)).alias("_c")).where("_c is not null")
+        return l.select(*rows.columns, *(F.col(f"_c.{a}").alias(f"_c{a}") for a in AXES))
+    m = math.ceil(size / width) + 1
+    l = rows.select("*", *(c.alias(f"_c{a}") for a, c in zip(AXES, bins([F.col(p) for p in pos], width), strict=True)), F.lit(0.0).alias("_gone"))
+    for a, p in zip(AXES, pos, strict=True):  # axis by axis, so that what is out of range goes early
+        l = l.withColumn("_o", F.explode(F.array(*map(F.lit, range(-m, m + 1)))))
+        part, o = F.col(p) / width - F.col(f"_c{a}"), F.col("_o")
+        gap = F.greatest(F.when(o > 0, o - part).when(o < 0, part - o - 1.0).otherwise(0.0) - MARGIN, F.lit(0.0))
+        l = l.withColumns({"_gone": F.col("_gone") + gap * gap, f"_c{a}": F.col(f"_c{a}") + o}).where(F.col("_gone") <= (size / width) ** 2)
+    return l.drop("_o", "_gone")
+
+
+def range_join(left: DataFrame, right: DataFrame, pos_i: Sequence[str], pos_j: Sequence[str], size: float, test: Column, salt: int = 1, salt_by: str | None = None, width: float | None = None) -> DataFrame:
     """Rows of left and right (no common column names) within size of each other that pass test.
 
-    size is at least the largest distance that can pass. Crowded cells can be
-    split: with salt > 1 the right rows of a cell are dealt into salt parts by
-    hash of salt_by, and each left row meets all parts. Rows with a null
-    coordinate meet none.
+    size is at least the largest distance that can pass. Cells are width ranges wide, as :func:`fitting_width` says if
+    it isn't given. Crowded cells of the widest kind can be split: with salt > 1 the right rows of a cell are dealt
+    into salt parts by hash of salt_by, and each left row meets all parts. Rows with a null coordinate meet none.
     """
     if size <= 0:
         raise ValueError("the range must be positive")
-    l = left.select("*", F.explode(reached(pos_i, size, width * size)).alias("_c")).where("_c is not null")
-    l = l.select(*left.columns, *(F.col(f"_c.{a}").alias(f"_c{a}") for a in AXES))
+    width = width or fitting_width(right, pos_j, size)
+    l = sent(left, pos_i, size, width * size)
     r = right.select("*", *(b.alias(f"_c{a}") for b, a in zip(bins([F.col(p) for p in pos_j], width * size), AXES, strict=True)))
     keys = [f"_c{a}" for a in AXES]
-    if salt > 1:
+    if salt > 1 and width > 2:
         r = r.withColumn("_salt", F.pmod(F.xxhash64(salt_by or pos_j[0]), F.lit(salt)))
         l = l.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salt - 1).cast("long"))))
         keys.append("_salt")
-    return l.join(r, keys).where(test).drop(*keys)
+    return l.join(r.hint("merge"), keys).where(test).drop(*keys)
 
 
 def cell_counts(rows: DataFrame, *keys: str) -> DataFrame:

@@ -289,3 +289,31 @@ def test_variables_and_arrays_in_kernels(spark, lattice):
 
     sim.compute(scaled)
     assert {r.mass for r in sim.run().select("mass").collect()} == {8.0}
+
+
+def test_range_join_of_rows_that_flew_far(spark):
+    """Close rows push each other out of any cell's number: cells beyond it are one, and what lies together there meets."""
+    places = [(1e20, 0.0, 0.0), (1e20, 0.05, 0.0), (-1e20, 0.0, 1e300), (-1e20, 0.0, 1e300), (0.0, 0.0, 0.0), (0.05, 0.0, 0.0), (math.inf, 0.0, 0.0), (math.nan, 0.0, 0.0)]
+    rows = spark.createDataFrame([(k, *p, 0) for k, p in enumerate(places)], "uid long, x double, y double, z double, flags int")
+    i, j = (interactions.side(rows, t, ["uid", *"xyz"]) for t in "ij")
+    near = (interactions._delta().squared_length() < 0.01) & (F.col("uid_i") != F.col("uid_j"))
+    for width in (grid.WIDTH, 1.0, 0.5):
+        got = grid.range_join(i, j, ("x_i", "y_i", "z_i"), ("x_j", "y_j", "z_j"), 0.1, near, width=width)
+        assert sorted((r.uid_i, r.uid_j) for r in got.collect()) == [(0, 1), (1, 0), (2, 3), (3, 2), (4, 5), (5, 4)]
+
+
+def test_crowded_rows_meet_in_narrow_cells(spark):
+    """A crowd is sorted into narrow cells, never broadcast, and few spare couples are tested."""
+    rows = spark.range(3000).select(F.col("id").alias("uid"), *((F.rand(k) * 0.4).alias(a) for k, a in enumerate("xyz")), F.lit(0).alias("flags")).persist()
+    assert grid.fitting_width(rows, ("x", "y", "z"), 0.1) < 2 < grid.fitting_width(rows.limit(50), ("x", "y", "z"), 0.1)
+    couples = interactions.cutoff_couples(rows, 0.1)
+    plan = couples._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    p = np.array([(r.x, r.y, r.z) for r in rows.orderBy("uid").collect()])
+    d = p[:, None] - p
+    want = (d * d).sum(axis=2) < 0.1 * 0.1
+    assert couples.count() == want.sum() - len(p)
+    i = interactions.side(rows, "i", ["uid", *"xyz"])
+    for size, width in ((0.1, 1.0), (0.1, 0.5)):
+        n = grid.sent(i, ("x_i", "y_i", "z_i"), size, width * size).count() / 3000
+        assert n == pytest.approx(1 + 6 / width + 3 * math.pi / width**2 + 4 / 3 * math.pi / width**3, rel=0.03)
