@@ -223,7 +223,7 @@ def run_pair(df: DataFrame, right: DataFrame, kernel: Callable, schema: Particle
         if (rows := pair.result()) is not None:
             parts.append(rows)
         if pair.touched:
-            states.append(contacts.pruned(pair.df, list(schema.contacts)))
+            states.append(contacts.pruned(pair.df, list(schema.contacts), "is_ghost_j" not in couples.columns))
     out = df
     if parts:
         rows = parts[0]
@@ -244,7 +244,8 @@ def run_pair(df: DataFrame, right: DataFrame, kernel: Callable, schema: Particle
         after = states[0]
         for s in states[1:]:
             after = after.unionByName(s)
-        after = after.dropDuplicates(contacts.KEY)
+        if any("is_ghost_j" in c.columns for c in joined.values()):
+            after = after.dropDuplicates(contacts.KEY)
     return out, after
 
 

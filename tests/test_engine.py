@@ -317,3 +317,23 @@ def test_crowded_rows_meet_in_narrow_cells(spark):
     for size, width in ((0.1, 1.0), (0.1, 0.5)):
         n = grid.sent(i, ("x_i", "y_i", "z_i"), size, width * size).count() / 3000
         assert n == pytest.approx(1 + 6 / width + 3 * math.pi / width**2 + 4 / 3 * math.pi / width**3, rel=0.03)
+
+
+def test_couples_are_not_sent_to_meet_no_state(spark):
+    """Without a state and without images, what a step knows of its couples is added up where they met; only sums by row travel."""
+    s = ParticleSchema()
+    s.add_position()
+    s.add("radius", REAL)
+    s.add_contact("seen", INT, 0)
+    flat = spark.createDataFrame([(k, 0.3 * k, 1.0) for k in range(40)], "uid long, x double, radius double").withColumns({"y": F.lit(0.0), "z": F.lit(0.0)})
+    rows = particles.nested(flat, s, {"position": ("x", "y", "z")})
+
+    def kernel(p):
+        p.set_contact("seen", p.contact("seen") + 1)
+
+    state = run_pair(rows, rows, kernel, s, [0], None, state=contacts.empty(spark, s), max_radius=1.0)[1]
+    got = state.groupBy("uid_i").agg(F.sum("seen").alias("n"))
+    assert "hashpartitioning(uid_i#" in (plan := got._jdf.queryExecution().executedPlan().toString())
+    assert not [x for x in plan.splitlines() if "hashpartitioning(uid_i#" in x and "uid_j#" in x]
+    want = {u: sum(0.3 * abs(u - v) < 2.0 for v in range(40) if v != u) for u in range(40)}
+    assert {r.uid_i: r.n for r in got.collect()} == want
