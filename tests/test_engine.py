@@ -337,3 +337,23 @@ def test_couples_are_not_sent_to_meet_no_state(spark):
     assert not [x for x in plan.splitlines() if "hashpartitioning(uid_i#" in x and "uid_j#" in x]
     want = {u: sum(0.3 * abs(u - v) < 2.0 for v in range(40) if v != u) for u in range(40)}
     assert {r.uid_i: r.n for r in got.collect()} == want
+
+
+def test_replayed_steps_equal_stored_state(spark):
+    """The history of contacts from one join equals the state stored from step to step, and no couple travels for it."""
+    rows = catalog.pts(spark, SF)
+    state = spark.createDataFrame([], "uid_i long, uid_j long, seen int, first_depth double")
+    for k in range(3):
+        now = rows.withColumns({a: F.col(a) + F.col(f"v{a}") * 0.05 * k for a in "xyz"})
+        met = contacts.touch(interactions.sphere_contacts(now, 0.048).select("uid_i", "uid_j", "depth"), state, {"seen": 0, "first_depth": 0.0})
+        met = met.withColumn("first_depth", F.when(F.col("seen") == 0, F.col("depth")).otherwise(F.col("first_depth"))).withColumn("seen", F.col("seen") + 1)
+        first, state = state, contacts.pruned(met, ["seen", "first_depth"]).persist()
+        if k == 1:
+            reset = contacts.reset(met, first, {"seen": 0, "first_depth": 0.0}).collect()
+    by_couple = lambda x: {(r.uid_i, r.uid_j, r.seen): r.first_depth for r in x}
+    got, again = catalog.contact_prune(spark, SF), catalog.contact_reset(spark, SF)
+    for new, old, seen in ((got.collect(), state.collect(), {1, 2, 3}), (again.collect(), reset, {0, 1, 2})):
+        assert {r.seen for r in new} == seen and len(new) == len(old) and by_couple(new) == pytest.approx(by_couple(old), abs=1e-6)
+    for q in (got, again, catalog.contact_insert(spark, SF), catalog.contact_persist(spark, SF)):
+        plan = q._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(_cx#" in plan and "hashpartitioning(uid_i#" not in plan
