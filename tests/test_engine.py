@@ -357,3 +357,28 @@ def test_replayed_steps_equal_stored_state(spark):
     for q in (got, again, catalog.contact_insert(spark, SF), catalog.contact_persist(spark, SF)):
         plan = q._jdf.queryExecution().executedPlan().toString()
         assert "hashpartitioning(_cx#" in plan and "hashpartitioning(uid_i#" not in plan
+
+
+@pytest.mark.parametrize("name", ["neighbor_lists", "verlet_couples", "sphere_list", "cell_list_couples"])
+def test_couples_do_not_travel_by_uid(spark, name):
+    """With rows too many to be broadcast, too, candidates and lists are used where they were found."""
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = catalog.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert "hashpartitioning(" in plan and "hashpartitioning(uid" not in plan
+
+
+def test_candidates_carry_places_of_images(spark, lattice):
+    rows, box = lattice
+    now = ("now_x", "now_y", "now_z")
+    rows = rows.withColumns({n: F.col(a) + 0.05 * F.col(f"v{a}") for a, n in zip("xyz", now, strict=True)})
+    near = images.images(rows, box, 2.8)
+    moved = rows.withColumns({a: F.col(n) for a, n in zip("xyz", now, strict=True)})
+    want = interactions.from_candidates(moved, interactions.candidates(rows, near, 2.8), 2.5, box.lengths)
+    rounded = lambda x: sorted((r.uid_i, r.uid_j, round(r.rsq, 9)) for r in x.select("uid_i", "uid_j", "rsq").collect())
+    for build in (interactions.candidates, interactions.cell_couples):
+        got = interactions.from_carried(build(rows, near, 2.8, carried=now), 2.5, box.lengths, now)
+        assert rounded(got) == rounded(want)
